@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import calibrate, encode, groupsplit, leakage, mixture, neardup, overlap
+from tallyforge.llm import calibrate, defects, encode, groupsplit, leakage, mixture, neardup, overlap, pii
 from tallyforge.session import Scratch, read
 
 LINE = "input.signal_brief.signal_line"
@@ -30,6 +30,18 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.pivotal_sample(tagged, cells).select("plan_id", F.array_join("cell", "|").alias("category"), F.col("id").alias("task_id"), "pi")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Traces, and accepted pairs, whose answer is defective."""
+    traces = read(spark, d, "held_out_traces_raw").select(F.lit("trace").alias("record_kind"), F.col("trace_id").alias("record_id"), "prompt", F.col("model_output").alias("response"))
+    pairs = read(spark, d, "preference_pairs_audit").where(F.regexp_replace(F.lower("status"), r"^\s+|\s+$", "") == "accepted")
+    pairs = pairs.select(F.lit("pair").alias("record_kind"), F.col("pair_id").alias("record_id"), "prompt", F.col("chosen").alias("response"))
+    return defects.defects(traces.unionByName(pairs))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defect_report(p2_found(spark, d))
+
+
 def _overlap(spark: SparkSession, d: str) -> DataFrame:
     return overlap.cross_split_pairs(read(spark, d, "tasks"), "task_id", F.col(LINE), F.col("split_name"), F.col("metadata.signal_source"))
 
@@ -112,6 +124,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(mix.chosen())
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct personal item of a document."""
+    return pii.find(read(spark, d, "documents"), "text", "doc_id", read(spark, d, "known_names")).withColumnRenamed("id", "doc_id")
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with placeholders for personal items."""
+    return pii.redact(read(spark, d, "documents"), "text", "doc_id", read(spark, d, "known_names")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_sample, p3_found, p3_report, p4_found, p4_splits, p4_report, p5_found, p5_report, p6_found, p6_groups, p7_ids, p8_mix, p8_shares)
+    f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_report, p4_found, p4_splits, p4_report, p5_found, p5_report, p6_found, p6_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_redacted)
 }
