@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.setsim import BROADCAST_PAIRS, classes, lines, near_classes
+from tallyforge.llm.setsim import BROADCAST_LINES, classes, lines, near_classes
 from tallyforge.session import Scratch
 
 
@@ -28,7 +28,7 @@ class NearDuplicates:
         """(id_a, id_b), the smaller first: the members of linked classes and those of one class."""
         several = self.kept.where("members > 1").select(F.col("line").alias("line_a"), F.col("line").alias("line_b"))
         links = self.links.select("line_a", "line_b").unionByName(several)
-        small = self.links.count() + several.count() <= BROADCAST_PAIRS
+        small = self.links.count() + several.count() <= BROADCAST_LINES
         hint = F.broadcast if small else (lambda d: d)
         one = self.members.select(F.col("id").alias("x"), F.col("line").alias("line_a")).join(hint(links), "line_a")
         two = one.join(self.members.select(F.col("id").alias("y"), F.col("line").alias("line_b")), "line_b")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.setsim import BROADCAST_PAIRS, classes, lines, near_classes
+from tallyforge.llm.setsim import BROADCAST_LINES, classes, lines, near_classes
 from tallyforge.session import Scratch
 
 
@@ -32,10 +32,10 @@ def cross_split_pairs(tasks: DataFrame, id_col: str, line: Column, split: Column
     same = kept.where("held AND train").select(F.col("line").alias("line_held"), F.col("line").alias("line_train"))
     pick = lambda x, y: near.where(f"held_{x} AND train_{y}").select(F.col(f"line_{x}").alias("line_held"), F.col(f"line_{y}").alias("line_train"))
     links = scratch.keep(pick("a", "b").unionByName(pick("b", "a")).unionByName(same))
-    hint = F.broadcast if links.count() <= BROADCAST_PAIRS else (lambda d: d)
+    hint = F.broadcast if links.count() <= BROADCAST_LINES else (lambda d: d)
     one = rows.where("held").select(F.col("id").alias("held_id"), F.trim("split").alias("split"), "source", F.col("line").alias("line_held")).join(hint(links), "line_held")
     one = scratch.keep(one.groupBy("held_id", "line_train").agg(F.min("split").alias("split"), F.min("source").alias("source")))
-    hint = F.broadcast if one.count() <= BROADCAST_PAIRS else (lambda d: d)
+    hint = F.broadcast if one.count() <= BROADCAST_LINES else (lambda d: d)
     two = rows.where("train").select(F.col("id").alias("train_id"), F.col("line").alias("line_train")).join(hint(one), "line_train")
     return two.where(F.col("held_id") != F.col("train_id")).groupBy("held_id", "train_id").agg(F.min("split").alias("split"), F.min("source").alias("source"))
 

@@ -20,6 +20,8 @@ from tallyforge.session import Scratch
 SKETCH_BITS = 16
 #: Pairs up to this number are broadcast (16 bytes each); beyond it the same joins shuffle.
 BROADCAST_PAIRS = 200_000
+#: The same for joins whose rows carry whole lines, some 400 bytes each.
+BROADCAST_LINES = 30_000
 
 
 def lines(df: DataFrame, id_col: str, text: Column, **more: Column) -> DataFrame:
