@@ -1 +1,6 @@
-"""See the package README for the operator inventory."""
+"""Query catalog."""
+
+from tallyforge.plans import checks, texts  # noqa: F401
+from tallyforge.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
