@@ -10,11 +10,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def _counts(sql: str) -> str:
+    """DuckDB's count_if is a HUGEINT; Spark's is a bigint."""
+    out, at = "", 0
+    while (k := sql.find("count_if(", at)) >= 0:
+        end, depth = k + len("count_if("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out += f"{sql[at:k]}CAST({sql[k:end]} AS BIGINT)"
+        at = end
+    return out + sql[at:]
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = _counts(sql)
         return f
 
     return register
