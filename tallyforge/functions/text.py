@@ -23,4 +23,5 @@ def squeezed(text: Column) -> Column:
 def content_line(text: Column) -> Column:
     """Sorted distinct words of a signal line without its reference tag, joined by blanks."""
     bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), REFERENCE_TAG, " ")
-    return F.array_join(F.array_sort(F.array_distinct(words(bare))), " ")
+    spaced = F.trim(F.regexp_replace(bare, NOT_WORD, " "))
+    return F.array_join(F.sort_array(F.array_distinct(F.split(spaced, " "))), " ")
