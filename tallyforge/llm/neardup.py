@@ -1,7 +1,9 @@
 """Problem 6: records that differ from others by small edits.
 
-A set-relation join: records with equal word sets are one class whose answers are computed once and handed to all members, index
-lists are skipped by position (setsim), and only class representatives are joined.
+A join by set relations. Records with equal word sets are one class, whose answers are computed once and handed to all of them. A
+class that is its leader's set without a word or two is never joined: what it shares with others follows from its leader's answers
+by looking up the missing words. Leaders are joined over index lists of their rarest words, whose entries are skipped by position,
+size and word bitmap before a pair is made (setsim).
 
 Defined results: null ids are ignored; lines of fewer than `least` content words are near nothing; repeats of an id count once.
 """
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.setsim import BROADCAST_LINES, classes, lines, near_classes
+from tallyforge.llm.setsim import BROADCAST_LINES, classes, lines, near_by_families
 from tallyforge.session import Scratch
 
 
@@ -20,9 +22,9 @@ class NearDuplicates:
 
     def __init__(self, records: DataFrame, id_col: str, line: Column, p: int = 7, q: int = 10, least: int = 8):
         self.scratch = Scratch(records.sparkSession, "neardup")
-        self.members = self.scratch.keep(lines(records, id_col, line).where(F.col("n") >= least).select("id", "line", "n").distinct())
+        self.members = self.scratch.keep(lines(records, id_col, line).distinct().where(F.size(F.split("line", " ")) >= least))
         self.kept = self.scratch.keep(classes(self.members, least, []))
-        self.links = near_classes(self.kept, self.scratch, p, q)
+        self.links = near_by_families(self.kept, self.scratch, p, q)
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), the smaller first: the members of linked classes and those of one class."""
