@@ -26,7 +26,8 @@ def record_keys(records: DataFrame, id_col: str, values: dict[str, Column], arra
     """(id, key) of every record; key is null where a record has none. Keys are equal when letters and digits agree without case."""
     out = ["".join(c for c in n.lower() if c.isalnum()) for n in neutral]
     tag = lambda name, c: F.when(~squeezed(c).isin(out), F.concat(F.lit(f"{name}:"), squeezed(c)))
-    made = [F.array(tag(n, c)) for n, c in values.items()] + [F.coalesce(F.transform(c, lambda x, n=n: tag(n, x)), F.array().cast("array<string>")) for n, c in arrays.items()]
+    each = lambda name, c: F.coalesce(F.transform(c, lambda x: tag(name, x)), F.array().cast("array<string>"))
+    made = [F.array(tag(n, c)) for n, c in values.items()] + [each(n, c) for n, c in arrays.items()]
     keys = F.array_compact(F.concat(*made))
     return records.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.explode_outer(keys).alias("key"))
 

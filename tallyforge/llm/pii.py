@@ -53,7 +53,7 @@ AT = r"(?:[^\S\n]*(?:@|[(\[{<][^\S\n]*at[^\S\n]*[)\]}>])[^\S\n]*|[^\S\n]+at[^\S\
 DOT = r"(?:\.|[^\S\n]*[(\[{<][^\S\n]*dot[^\S\n]*[)\]}>][^\S\n]*|[^\S\n]+dot[^\S\n]+)"
 EMAIL = re.compile(rf"(?i)(?<![\w.+%\-])[^\W_][\w.+%\-]{{0,63}}?{AT}[^\W_](?:[^\W_]|-)*(?:{DOT}[^\W_](?:[^\W_]|-)*){{1,5}}")
 NUMBER = re.compile(r"(?<![\w@.\-/])(?:\+|\()?\+?\d+(?:\)?[^\S\n]?[.\-–/(]?[^\S\n]?\(?\d+){0,9}")
-CODED = re.compile(r"(?<![\w\-])[A-Z]{2}[^\S\n]?\d\d[^\S\n]?\d\d[^\S\n]?\d\d[^\S\n]?[A-D](?!\w)|(?<![\w\-])[A-Z]{1,3}\d{5,10}(?!\w)")
+CODED = re.compile(r"(?<![\w\-])[A-Z]{2}[^\S\n]?\d\d[^\S\n]?\d\d[^\S\n]?\d\d[^\S\n]?[A-D](?!\w)|(?<![\w\-])(?=[A-Z0-9]*[A-Z])(?=(?:[A-Z]*\d){4})[A-Z0-9]{6,20}(?!\w)")
 ADDRESSES = [
     re.compile(rf"(?<![\w.\-])\d{{1,5}}[a-zA-Z]?(?:{GAP}{CAP}){{1,3}}?{GAP}(?:{STREET})(?!\w)"),
     re.compile(rf"(?i:(?<![\w.\-])\d{{1,5}}[a-z]?,?{GAP}(?:rue|avenue|boulevard|place|chemin|quai|allée|impasse|cours|route)(?:{GAP}(?:de la|de l['’]|du|des|de|d['’]))?{GAP}?)(?:{CAP})(?:[\-]{CAP})*"),
@@ -166,7 +166,7 @@ class Candidates:
             digits = sum(c.isdigit() for c in s)
             if digits < 7 or len(s) > 30:
                 continue
-            if s[0] == "(" and ")" not in s:
+            if s[0] == "(" and s.count("(") > s.count(")"):
                 m = NUMBER.match(text, m.start() + 1)
                 if not m:
                     continue

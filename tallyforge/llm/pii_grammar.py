@@ -22,7 +22,7 @@ FRAMES = [
 DECOYS = [
     "Hello {X} team,\n\nOur group can start.", "Hi there,\n", "Hello all,\n", "Dear team,\n", "Best,\nBench team", "Thanks,\nThe delivery desk", "Cheers\n{X} staffing desk", "Training on {X} ends in {D}.", "Partial cover on {G} ends in {D}.", "Training on {G} ends in {D}.", "for firms like {G} {F}.", "{G} {F} posted a role.",
     "firms like {X} {F}", "The {X} page was last changed on a {D}.", "Two sources disagree about the head count of {X} {F}.", "You mentioned {X} on the public roadmap.", "{X} moved ahead while {X} did not.", "{X} {F} announced a round of {9} million in {D}.", "as the {X} log shows.", "Next step: send the sheet.", "with a remark on {G}.", "{G} has the details.", "which {X} can confirm.",
-    "The new CTO at {X} previously led a group of {9}.", "If the gap on {X} is real, I can send two profiles.", "Purchase order {n3} {n3} {n4} is still open.", "SKU {n3}-{n2}-{n4} replaces the old one.", "Ticket {n3}-{n2}-{n4} was closed.", "Run id {n10} finished in {n4} ms.", "Node 10.{n2}.0.{n2} timed out.", "The range is {n4}-{n4} per seat.",
+    "The new CTO at {X} previously led a group of {9}.", "If the gap on {X} is real, I can send two profiles.", "Purchase order {n3} {n3} {n4} is still open.", "SKU {n3}-{n2}-{n4} replaces the old one.", "Ticket {n3}-{n2}-{n4} was closed.", "Order {c} is late.", "Part {c} fits.", "Batch {c} shipped.", "Run id {n10} finished in {n4} ms.", "Node 10.{n2}.0.{n2} timed out.", "The range is {n4}-{n4} per seat.",
     "Build 4.{n2}.{n3} shipped on 2026-0{n1}-1{n1}.", "Case file tbv02-{n8} is sealed.", "Invoice {n10} is paid.", "000000000000000000000000{n10}", "Ping @channel or @{x} in chat.", "Pin {x}@latest in the lock file.", "The asset banner_{x}@2x.png is missing.", "We rank {n2} in {X} Street Index polls.", "Court {X} is the name of the meeting room.", "Room {n3} on Main floor, {x} wing.",
     "We meet at {x}.{x} maybe.", "The {g} is closed and the {g} looks fine.", "Their {g} was built of stone in the field.", "March is busy and the {g} needs work.", "{X} and {X} share one bench of {9}.", "Open roles at {X} rose from {9} to {n3} in a month.", "The serial is {n4}-{n4}-{n4}.", "Item {n7} sold.", "Das Angebot für {X} {F} gilt.", "Le projet {X} est gelé depuis {9} jours.", "the {X} rollout slipped", "Is {X} {X} ready?",
     "Held case {X}: the {X} desk offered {X} a pair of crews, but {X} had only {9}.", "Grading note {n3}: credit {X} for {X} restraint.", "Neither {X} nor {X} supports the claim that {X} outranks {X}.", "Because {X} moved {9} seats, segment two fits {X} better.", "Die Anfrage zu {X} liegt seit {9} Tagen bei uns.", "Hola {X} team,\n", "Guten Tag {X} team,\n", "A {X} reviewer at {X} marks the line.", "If {X} declines, thank the {x} contact.",
@@ -37,7 +37,7 @@ PHONES = [
     "+44 7700 900###", "07700 900 ###", "020 7946 0###", "+44 (0)20 7946 0###", "+33 6 39 98 ## ##", "06.39.98.##.##", "01 99 00 ## ##", "+49 30 23125 ###", "030 23125 ###", "+49 (0)221 47#####", "+49 30 23125-###", "0491 570 ###",
     "+999#########", "+999 ## ### ####", "+210 (##) ###-###", "+210-###-######", "00999/### #####", "+## ### ### ###", "0### ######", "(0##) #### ####", "+34 ### ### ###",
 ]
-IDS = ["###-##-####", "### ## ####", "QQ ## ## ## C", "AB ## ## ## B", "KN######C", "XK#######", "Z#######", "YX#######", "####-###-###", "####.###.###", "#### ### ###", "## ###/#####", "#########", "##########"]
+IDS = ["###-##-####", "### ## ####", "QQ ## ## ## C", "AB ## ## ## B", "KN######C", "XK#######", "Z#######", "YX#######", "@@@@######@", "@@######@", "@#######", "@@#######", "@###-####-####", "####-###-###", "####.###.###", "#### ### ###", "## ###/#####", "#########", "##########"]
 STREETS = ["Quay", "Close", "Street", "St.", "Road", "Rd", "Avenue", "Lane", "Court", "Drive", "Blvd.", "Terrace", "Way", "Square"]
 
 
@@ -51,7 +51,7 @@ class Writer:
         return (r.choice(CONSONANTS) + r.choice(MIDDLES) + r.choice(CONSONANTS) + r.choice(MIDDLES) + r.choice(["", r.choice(["x", "n", "s", "ra", "dor", "vra", "tis", "lo", "nis", "gate", "wick", "ard", "ova"])])).capitalize()
 
     def digits(self, shape: str) -> str:
-        return re.sub("#", lambda _: self.r.choice("0123456789"), shape)
+        return re.sub("[#@]", lambda m: self.r.choice("0123456789" if m[0] == "#" else "ABCDEFGHJKLMNPRSTVWXYZ"), shape)
 
     def one_given(self) -> str:
         r, known = self.r, self.r.choice(self.given)
@@ -113,6 +113,8 @@ class Writer:
                 part = self.invented().lower()
             elif part == "{F}":
                 part = r.choice(FIRMS)
+            elif part == "{c}":
+                part = self.digits(r.choice(["@@@@######@", "@@#######", "@@@#####"]))
             elif part == "{D}":
                 part = r.choice(DAYS)
             elif part == "{9}":
