@@ -211,7 +211,7 @@ _AI = r"(?i)\b(ml|ai|llm|data|model)\b"
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
+    rf"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^[ \t\r]+|[ \t\r]+$', '', 'g') AS line FROM documents)
     SELECT doc_id, count_if(regexp_matches(line, {_q(_ENG)})) AS role_lines, count_if(regexp_matches(line, {_q(_AI)})) AS ai_lines,
     count(DISTINCT CASE WHEN regexp_matches(line, {_q(_ENG)}) AND length(line) <= 90 THEN lower(line) END) AS titles,
     CASE WHEN count_if(regexp_matches(line, {_q(_ENG)})) > 0 THEN round_even(count_if(regexp_matches(line, {_q(_AI)}))::DOUBLE / count_if(regexp_matches(line, {_q(_ENG)})), 3) ELSE 0.0 END AS ai_share
@@ -220,6 +220,6 @@ _AI = r"(?i)\b(ml|ai|llm|data|model)\b"
 def role_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines that name a role, distinct short ones among them, and the share about models or data."""
     line = F.col("line")
-    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line != ''")
+    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "").alias("line")).where("line != ''")
     g = lines.groupBy("doc_id").agg(F.count_if(line.rlike(_ENG)).alias("role_lines"), F.count_if(line.rlike(_AI)).alias("ai_lines"), F.count_distinct(F.when(line.rlike(_ENG) & (F.length(line) <= 90), F.lower(line))).alias("titles"))
     return g.withColumn("ai_share", F.when(F.col("role_lines") > 0, F.bround(F.col("ai_lines") / F.col("role_lines"), 3)).otherwise(0.0))

@@ -11,14 +11,14 @@ SQL: dict[str, str] = {}
 
 
 def _counts(sql: str) -> str:
-    """DuckDB's count_if is a HUGEINT; Spark's is a bigint."""
+    """DuckDB's count_if is a HUGEINT, null where all its values are; Spark's is a bigint."""
     out, at = "", 0
     while (k := sql.find("count_if(", at)) >= 0:
         end, depth = k + len("count_if("), 1
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[end], 0)
             end += 1
-        out += f"{sql[at:k]}CAST({sql[k:end]} AS BIGINT)"
+        out += f"{sql[at:k]}coalesce(CAST({sql[k:end]} AS BIGINT), 0)"
         at = end
     return out + sql[at:]
 

@@ -68,7 +68,7 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
     head = F.regexp_extract("line", r"^#{1,6} +(.*?)\s*$", 1)
     numbered = lines.withColumn("head", head).withColumn("sec", F.expr("sum(CASE WHEN head != '' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos)"))
     out = numbered.groupBy("file", "sec").agg(F.max("head").alias("h"), F.sort_array(F.collect_list(F.when(F.col("head") == "", F.struct("pos", "line")))).alias("l"))
-    text = F.trim(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    text = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
     return out.select("file", F.when(F.col("h") != "", F.col("h")).otherwise(F.regexp_replace("file", r"\.[^.]*$", "")).alias("heading"), text.alias("text")).where((F.col("text") != "") | (F.col("heading") != ""))
 
 
