@@ -40,8 +40,9 @@ def _any(text: Column, parts: list[str]) -> Column:
 
 
 def banned_hits(text: Column, phrases: list[str] = BANNED) -> Column:
-    """The phrases of the list that stand in the text as whole words."""
-    return F.array_compact(F.array(*[F.when(text.rlike(rf"(?i)\b{p}\b"), p) for p in phrases]))
+    """The phrases of the list that stand in the text as whole words; each is looked for only where one pattern for all of them hits."""
+    each = F.array_compact(F.array(*[F.when(text.rlike(rf"(?i)\b{p}\b"), p) for p in phrases]))
+    return F.when(text.rlike(rf"(?i)\b(?:{'|'.join(phrases)})\b"), each).otherwise(F.array().cast("array<string>"))
 
 
 def grounded_tokens(inp: Column, out: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators import setsim
+from tallyforge.session import Scratch
+
 
 def grams(tokens: Column, n: int) -> Column:
     """Distinct n-grams of a token list, joined by blanks; fewer than n tokens have none."""
@@ -27,29 +30,16 @@ def nearest_overlap(left: DataFrame, right: DataFrame, n: int = 8) -> DataFrame:
 
 
 def jaccard_pairs(df: DataFrame, num: int, den: int) -> DataFrame:
-    """df: (id, tokens), tokens distinct. (a, b, shared, united) of pairs with a < b and Jaccard similarity num/den or more.
-
-    Records with one token set are joined once, as a class. Tokens are ranked rarest first by their counts, so that only the first
-    n - ceil(t n) + 1 tokens of a set are joined on; sizes that can't reach the threshold leave at the join.
-    """
-    df = df.where(F.size("tokens") > 0).select("id", F.array_join(F.sort_array("tokens"), " ").alias("line"))
-    kinds = df.select("line").distinct().withColumn("n", F.size(F.split("line", " ")))
-    each = kinds.select("line", "n", F.explode(F.split("line", " ")).alias("tok"))
-    counted = each.groupBy("tok").agg(F.count("*").alias("df"))
-    ranked = each.join(counted, "tok").groupBy("line", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t"))
-    keep = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
-    first = ranked.select("line", "n", F.explode(F.slice("t", F.lit(1), keep)).alias("p")).select("line", "n", F.col("p.tok").alias("tok"))
-    x, y = first.alias("x"), first.alias("y")
-    close = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
-    met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.line") < F.col("y.line")) & close).select(F.col("x.line").alias("la"), F.col("y.line").alias("lb")).distinct()
-    a, b = F.split("la", " "), F.split("lb", " ")
-    both = met.withColumn("shared", F.size(F.array_intersect(a, b))).withColumn("united", F.size(a) + F.size(b) - F.col("shared"))
-    links = both.where(F.col("shared") * den >= F.col("united") * num).select("la", "lb", "shared", "united")
-    size = F.size(F.split("line", " "))
-    same = kinds.select(F.col("line").alias("la"), F.col("line").alias("lb"), size.alias("shared"), size.alias("united"))
-    wide = links.unionByName(same)
-    ids = df.select("id", "line")
-    out = wide.join(ids.select(F.col("id").alias("i"), F.col("line").alias("la")), "la").join(ids.select(F.col("id").alias("j"), F.col("line").alias("lb")), "lb").where("i != j")
+    """df: (id, tokens), tokens distinct and without blanks. (a, b, shared, united) of pairs with a < b and Jaccard similarity num/den
+    or more. Records with one token set are joined once, as a class."""
+    scratch = Scratch(df.sparkSession, "jaccard")
+    ids = scratch.keep(df.where("id IS NOT NULL").select("id", F.array_join(F.sort_array("tokens"), " ").alias("line")).distinct())
+    kinds = scratch.keep(setsim.classes(ids, 1, []))
+    links = setsim.near_classes(kinds, scratch, num, den).select("line_a", "line_b")
+    several = kinds.where("members > 1").select(F.col("line").alias("line_a"), F.col("line").alias("line_b"))
+    a, b = F.split("line_a", " "), F.split("line_b", " ")
+    wide = links.unionByName(several).withColumn("shared", F.size(F.array_intersect(a, b))).withColumn("united", F.size(a) + F.size(b) - F.col("shared"))
+    out = wide.join(ids.select(F.col("id").alias("i"), F.col("line").alias("line_a")), "line_a").join(ids.select(F.col("id").alias("j"), F.col("line").alias("line_b")), "line_b").where("i != j")
     return out.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "shared", "united").distinct()
 
 
