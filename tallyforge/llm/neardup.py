@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.setsim import BROADCAST_LINES, classes, lines, near_by_families
+from tallyforge.operators.setsim import BROADCAST_LINES, classes, lines, near_by_families
 from tallyforge.session import Scratch
 
 

@@ -4,7 +4,8 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import neardup, overlap, setsim
+from tallyforge.llm import neardup, overlap
+from tallyforge.operators import setsim
 
 COLS = "task_id string, line string, split_name string, source string, id string, n int"
 
