@@ -67,6 +67,8 @@ TOKEN = re.compile(r"[^\W_]+|[^\w\s]")
 
 
 def plain(word: str) -> str:
+    if word.isascii():
+        return word.lower()
     return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
 
 
@@ -199,6 +201,8 @@ class Candidates:
         for m in WORD.finditer(text):
             w = m.group()
             low = w.lower()
+            if w == low and g.is_given(w) == "no" or low in NOT_NAMES and low not in g.given:
+                continue
             if (low in NOT_NAMES or low in GREETINGS or low in TITLES) and plain(w) not in g.given or len(w) > 40:
                 continue
             case = _case(w)
