@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Families that one task splits.
+BLOCK = 100_000
+
+
 def hashed_share(key: Column, seed: str) -> Column:
     """A number from 0 to 1 that depends on the key and the seed only: 32 bits of an MD5, the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
@@ -37,8 +41,11 @@ def rotated_pick(start: Column, options: Column, family: Column) -> Column:
 
 def family_split(families: DataFrame, shares: tuple[float, float] = (0.5, 0.3)) -> DataFrame:
     """families: (family, category, size). Greedy split that keeps families whole: each goes to the part whose category target lacks
-    most, parts that would overflow last. The state of the whole is sequential, so it runs on one group of families, not of records;
-    families are aggregates, one row each.
+    most, parts that would overflow last.
+
+    The state is sequential, so families, one row each, are dealt to blocks of some BLOCK by hash, and each block fills its own
+    targets: up to BLOCK families there is one block and the split is the plain greedy one; beyond, no task gets more than a block and
+    the shares of the blocks add up.
     """
     names = ("train", "dev", "held_out")
 
@@ -56,5 +63,6 @@ def family_split(families: DataFrame, shares: tuple[float, float] = (0.5, 0.3))
             out.append(part)
         return pdf.assign(part=out)[["family", "category", "size", "part"]]
 
-    keyed = families.withColumn("order", F.md5(F.concat(F.lit("split|"), "family"))).withColumn("all", F.lit(1))
-    return keyed.groupBy("all").applyInPandas(run, "family string, category string, size long, part string")
+    blocks = max(1, -(-families.count() // BLOCK))
+    keyed = families.withColumn("order", F.md5(F.concat(F.lit("split|"), "family"))).withColumn("block", F.pmod(F.xxhash64("family"), F.lit(blocks)))
+    return keyed.groupBy("block").applyInPandas(run, "family string, category string, size long, part string")

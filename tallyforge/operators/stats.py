@@ -5,6 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.session import Scratch
+
+
+def ranked(df: DataFrame, groups: list[str], value: str, ties: str) -> DataFrame:
+    """df with, inside its group and in the order of value, k (its place from 0), rank (the place of the first of its ties), upto (how
+    many are not greater) and n (the size of the group).
+
+    No group is gathered into one task: rows are range-partitioned by group and value, so that ties stay together, ranked inside
+    their partition, and shifted by the counts of the group's partitions before, a table of at most groups + partitions rows.
+    """
+    spark = df.sparkSession
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kept = Scratch(spark, "ranked").keep(df.repartitionByRange(parts, *groups, value).withColumn("__p", F.spark_partition_id()))
+    each = kept.groupBy(*groups, "__p").agg(F.count("*").alias("__c"))
+    key = ", ".join(groups)
+    by = f"PARTITION BY {key}" if groups else ""
+    offset = each.withColumns({"__o": F.expr(f"coalesce(sum(__c) OVER ({by} ORDER BY __p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"), "n": F.expr(f"sum(__c) OVER ({by})")}).drop("__c")
+    inside = f"OVER (PARTITION BY {', '.join([*groups, '__p'])} ORDER BY {value}"
+    own = kept.withColumns({"__k": F.expr(f"row_number() {inside}, {ties}) - 1"), "__r": F.expr(f"rank() {inside}) - 1"), "__u": F.expr(f"count(*) {inside} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")})
+    out = own.join(offset, [*groups, "__p"])
+    return out.withColumns({"k": F.col("__o") + F.col("__k"), "rank": F.col("__o") + F.col("__r"), "upto": F.col("__o") + F.col("__u")}).drop("__o", "__k", "__r", "__u", "__p")
+
 
 def upper_median(values: Column) -> Column:
     """Aggregate: the element at index n div 2 of the sorted values."""

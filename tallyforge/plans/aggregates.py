@@ -73,16 +73,16 @@ def preference_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT {CATEGORY.format('failure_category')} AS category, (list_sort(list(latency_ms)))[len(list(latency_ms)) // 2 + 1] AS p50, round(avg(latency_ms), 6) AS mean_ms, count(*) AS n FROM held_out_traces_raw WHERE latency_ms IS NOT NULL GROUP BY 1")
 def latency_by_category(spark: SparkSession, d: str) -> DataFrame:
-    """The upper median, by an exact count of each latency rather than a list of a whole group."""
+    """The upper median: the value at place n div 2 of its group, by distributed ranks."""
     t = read(spark, d, "held_out_traces_raw").where("latency_ms IS NOT NULL").select(category(F.col("failure_category")).alias("category"), "latency_ms")
-    each = t.groupBy("category", "latency_ms").agg(F.count("*").alias("k")).withColumns({"upto": F.expr("sum(k) OVER (PARTITION BY category ORDER BY latency_ms)"), "n": F.expr("sum(k) OVER (PARTITION BY category)")})
-    p50 = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("latency_ms")))
-    return each.groupBy("category").agg(p50.alias("p50"), F.round(F.sum(F.col("latency_ms") * F.col("k")) / F.sum("k"), 6).alias("mean_ms"), F.sum("k").alias("n"))
+    p50 = F.min(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col("latency_ms")))
+    return stats.ranked(t, ["category"], "latency_ms", "latency_ms").groupBy("category").agg(p50.alias("p50"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.count("*").alias("n"))
 
 
 @query("SELECT source, CAST(list_sort(list(n_chars))[len(list(n_chars)) // 2 + 1] AS BIGINT) AS p50 FROM documents WHERE n_chars IS NOT NULL GROUP BY source")
 def length_medians(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").where("n_chars IS NOT NULL").groupBy("source").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n_chars)").alias("lower"), F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n_chars DESC)").cast("bigint").alias("p50")).select("source", "p50")
+    t = read(spark, d, "documents").where("n_chars IS NOT NULL").select("source", "n_chars")
+    return stats.ranked(t, ["source"], "n_chars", "n_chars").where("k = n div 2").select("source", F.col("n_chars").alias("p50"))
 
 
 @query(
@@ -109,8 +109,8 @@ def score_histogram(spark: SparkSession, d: str) -> DataFrame:
 )
 def peer_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Share of peers at or below a score, and the 0-based rank where ties share the best one."""
-    w = "OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC)"
-    return read(spark, d, "supplier").select("s_suppkey", F.expr("bround(cume_dist() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal), 3)").alias("percentile"), F.expr(f"rank() {w} - 1").alias("rank0"))
+    r = stats.ranked(read(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), ["s_nationkey"], "s_acctbal", "s_suppkey")
+    return r.select("s_suppkey", F.bround(F.col("upto") / F.col("n"), 3).alias("percentile"), (F.col("n") - F.col("upto")).cast("int").alias("rank0"))
 
 
 @query(
@@ -258,20 +258,8 @@ def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """k from 0 in the order of a column: range partitions numbered inside, shifted by the counts before; no global window."""
-    spark = df.sparkSession
-    parts = df.repartitionByRange(16, order).sortWithinPartitions(order).withColumn("pid", F.spark_partition_id())
-    from tallyforge.session import Scratch
-
-    kept = Scratch(spark, "numbered").keep(parts)
-    counts = kept.groupBy("pid").count().orderBy("pid").collect()  # one row a partition
-    starts, at = [], 0
-    for r in counts:
-        starts.append((r.pid, at))
-        at += r["count"]
-    base = spark.createDataFrame(starts, "pid int, start long")
-    nth = F.expr(f"row_number() OVER (PARTITION BY pid ORDER BY {order})")
-    return kept.withColumn("nth", nth).join(F.broadcast(base), "pid").withColumn("k", F.col("start") + F.col("nth") - 1).drop("pid", "start", "nth")
+    """k from 0 in the order of a unique column."""
+    return stats.ranked(df, [], order, order).drop("rank", "upto", "n")
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +38,9 @@ def work_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+        local = tempfile.mkdtemp(prefix="tallyforge-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        at = "file://" + local
         spark.sparkContext.setCheckpointDir(at)
     return at
 

@@ -85,3 +85,24 @@ def test_rotation_and_choice(spark):
     assert df.limit(1).select(only.alias("x")).collect()[0].x == "local-b"
     shares = spark.range(4000).select(sampling.stratified_choice(F.col("id").cast("string"), "s", [("a", 0.3), ("b", 0.7)]).alias("x")).groupBy("x").count().collect()
     assert all(abs(r["count"] / 4000 - {"a": 0.3, "b": 0.7}[r.x]) < 0.03 for r in shares)
+
+
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_ranks_with_ties_equal_sorted_order(spark, groups):
+    rng = random.Random(9)
+    rows = [("a" if i % 3 else "b", rng.randrange(12) * 1.0, i) for i in range(240)]
+    got = stats.ranked(spark.createDataFrame(rows, "g string, v double, id int"), groups, "v", "id").collect()
+    by = {}
+    for g, v, i in rows:
+        by.setdefault(g if groups else "", []).append((v, i))
+    for r in got:
+        own = sorted(by[r.g if groups else ""])
+        place = own.index((r.v, r.id))
+        assert (r.k, r["rank"], r.upto, r.n) == (place, [v for v, _ in own].index(r.v), sum(v <= r.v for v, _ in own), len(own))
+    assert len(got) == 240 and stats.ranked(spark.createDataFrame([], "g string, v double, id int"), groups, "v", "id").count() == 0
+
+
+def test_family_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BLOCK", 40)
+    got = sampling.family_split(spark.range(200).selectExpr("concat('f', id) family", "'c' category", "1L size")).collect()
+    assert len({r.family for r in got}) == 200 and abs(sum(r.part == "train" for r in got) - 100) <= 10
