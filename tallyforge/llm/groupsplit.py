@@ -186,7 +186,5 @@ def tied_pairs(members: DataFrame) -> DataFrame:
 def split_report(members: DataFrame, targets: DataFrame) -> DataFrame:
     """Target and actual share of each split; quarantined records have none."""
     n = members.groupBy(F.coalesce("split", F.lit("quarantined")).alias("split_name")).agg(F.count("*").alias("records"), F.count_distinct("component").alias("components"))
-    total = members.agg(F.count("*").alias("total"))
-    return n.join(targets.select("split_name", "target_pct").distinct(), "split_name", "left").crossJoin(F.broadcast(total)).select(
-        "split_name", "target_pct", "records", "components", (100.0 * F.col("records") / F.col("total")).alias("actual_pct")
-    )
+    share = F.expr("100.0 * records / sum(records) OVER ()")  # a row a split
+    return n.join(targets.select("split_name", "target_pct").distinct(), "split_name", "left").select("split_name", "target_pct", "records", "components", share.alias("actual_pct"))

@@ -27,6 +27,22 @@ SELECT DISTINCT least(a.id, b.id) AS task_id_a, greatest(a.id, b.id) AS task_id_
 WHERE a.side = 'h' AND b.side = 't' AND a.id != b.id AND {_NEAR}
 """
 
+P3_REPORT = f"""
+WITH raw AS (SELECT task_id AS id, input.signal_brief.signal_line AS s, CASE split_name WHEN 'train' THEN 't' WHEN 'dev' THEN 'h' WHEN 'held_out' THEN 'h' END AS side FROM tasks),
+{_LINES},
+pairs AS (SELECT DISTINCT a.id AS held, b.id AS train FROM kept a, kept b WHERE a.side = 'h' AND b.side = 't' AND a.id != b.id AND {_NEAR}),
+of AS (SELECT task_id, min(split_name) AS split, coalesce(min(metadata.signal_source), 'unknown') AS source FROM tasks WHERE split_name IN ('dev', 'held_out') GROUP BY task_id)
+SELECT split, source, count(*) AS pairs, count(DISTINCT held) AS held_records, count(DISTINCT train) AS train_records FROM pairs JOIN of ON held = task_id GROUP BY ALL
+"""
+
+P6_GROUPS = f"""
+WITH raw AS (SELECT task_id AS id, input.signal_brief.signal_line AS s, 0 AS side FROM judge_filter_accepted),
+{_LINES},
+cls AS (SELECT w, min(id) AS class_id, count(*) AS class_size FROM kept GROUP BY w),
+links AS (SELECT a.w, count(*) AS links FROM cls a, cls b WHERE a.w != b.w AND {_NEAR} GROUP BY a.w)
+SELECT k.id AS task_id, class_id, class_size, coalesce(links, 0) AS links FROM kept k JOIN cls ON k.w = cls.w LEFT JOIN links ON links.w = k.w
+"""
+
 P6 = f"""
 WITH raw AS (SELECT task_id AS id, input.signal_brief.signal_line AS s, 0 AS side FROM judge_filter_accepted),
 {_LINES}
@@ -56,11 +72,21 @@ own_grams AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 6
 SELECT DISTINCT record_kind, record_id, item_id FROM grams JOIN own_grams USING (g)
 """
 
+P5_REPORT = (
+    P5.replace("AS record_id, text AS t", "AS record_id, 'text' AS field, text AS t").replace("'pair', pair_id, prompt", "'pair', pair_id, 'prompt', prompt").replace("'pair', pair_id, chosen", "'pair', pair_id, 'chosen', chosen")
+    .replace("words AS (SELECT record_kind, record_id,", "words AS (SELECT record_kind, record_id, field,").replace("grams AS (SELECT DISTINCT record_kind, record_id,", "grams AS (SELECT DISTINCT record_kind, record_id, field,")
+    .replace("SELECT DISTINCT record_kind, record_id, item_id FROM", "SELECT item_id, record_kind, count(DISTINCT record_id) AS records, count(DISTINCT concat(record_id, ' ', field)) AS fields FROM")
+    + " GROUP BY item_id, record_kind"
+)
+
 SQL: dict[str, str] = {
     "p1_found": f"SELECT plan_id, category_name FROM ({_REPORT}) WHERE gap > 0",
     "p1_report": _REPORT,
     "p3_found": P3,
+    "p3_report": P3_REPORT,
     "p4_found": P4,
     "p5_found": P5,
+    "p5_report": P5_REPORT,
     "p6_found": P6,
+    "p6_groups": P6_GROUPS,
 }
