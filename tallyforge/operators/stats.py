@@ -40,10 +40,11 @@ def bootstrap_ci(diffs: DataFrame, rounds: int, seed: int) -> DataFrame:
     Draws are the first 32 bits of an MD5 of seed, round and place, so any engine gets the same ones. Draws are counted by the record
     that they hit, round by round; the join is on the drawn place and the sums are pre-aggregated.
     """
-    n = diffs.agg(F.count("*").alias("n"))
-    spark = diffs.sparkSession
-    draws = spark.range(rounds).select(F.col("id").alias("b")).crossJoin(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    place = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long"), F.col("n"))
+    spark, n = diffs.sparkSession, diffs.count()
+    if not n:
+        return spark.createDataFrame([], "low double, high double")
+    draws = spark.range(rounds).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"))
+    place = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long"), F.lit(n))
     means = draws.select("b", place.alias("k")).join(diffs, "k").groupBy("b").agg(F.avg("diff").alias("mean"))
     got = means.agg(F.sort_array(F.collect_list("mean")).alias("m"))
     at = lambda q: F.element_at("m", F.lit(int(q * rounds) + 1))

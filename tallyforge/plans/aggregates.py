@@ -310,9 +310,8 @@ def calibration_tiers(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT task_id, CAST(ntile(7) OVER (ORDER BY task_id) AS INTEGER) AS shard FROM (SELECT DISTINCT task_id FROM judge_filter_accepted)")
 def even_shards(spark: SparkSession, d: str) -> DataFrame:
     """Contiguous shards whose sizes differ by one at most, from distributed row numbers."""
-    t = numbered(read(spark, d, "judge_filter_accepted").select("task_id").distinct(), "task_id")
-    n = t.agg(F.count("*").alias("n"))
+    t = stats.ranked(read(spark, d, "judge_filter_accepted").select("task_id").distinct(), [], "task_id", "task_id")
     small, extra = F.floor(F.col("n") / 7), F.col("n") % 7
     cut = (small + 1) * extra
     shard = F.when(F.col("k") < cut, F.floor(F.col("k") / (small + 1))).otherwise(extra + F.floor((F.col("k") - cut) / F.greatest(small, F.lit(1)))) + 1
-    return t.crossJoin(F.broadcast(n)).select("task_id", shard.cast("int").alias("shard"))
+    return t.select("task_id", shard.cast("int").alias("shard"))
