@@ -18,7 +18,7 @@ BANNED = [
     "world-class", "top talent", "A-players", "rockstar", "ninja", "wizard", "skyrocket", "supercharge", "10x", "I hope this email finds you well", "just following up", "circling back",
     "quick question", "quick chat", "synergize", "synergy", "leverage", "ecosystem", "game-changer", "disruptor", "paradigm shift", "do not miss out", "per my last email",
 ]
-BOOKING_HINTS = ["calendar", "book", "schedule", "gettenacious.com/", "cal.com/"]
+BOOKING_HINTS = ["calendar", "book", "schedule", "cal.com/"]
 AFFIRMATIVE = ["we can", "we could", "can cover", "can support", "can deliver", "can start"]
 COMMITMENT = ["committed", "limited availability", "not available", "on hold"]
 SENIORITY = {"junior": "junior_0_2_yrs", "mid": "mid_2_4_yrs", "senior": "senior_4_plus_yrs"}
@@ -80,9 +80,10 @@ def signal_grounding_check(inp: Column, out: Column) -> Column:
     return F.array_compact(F.array(F.when(F.size(grounded_tokens(inp, out)) < 2, "not grounded")))
 
 
-def booking_stage_check(inp: Column, out: Column) -> Column:
+def booking_stage_check(inp: Column, out: Column, hints: list[str] = BOOKING_HINTS) -> Column:
+    """A firm's own booking address is a further hint that its caller adds."""
     early = F.coalesce(inp["thread_stage"], F.lit("")) != "ready_to_schedule"
-    return F.array_compact(F.array(F.when(_any(F.lower(_body(out)), BOOKING_HINTS) & early, "booking before its stage")))
+    return F.array_compact(F.array(F.when(_any(F.lower(_body(out)), hints) & early, "booking before its stage")))
 
 
 def bench_capacity_check(inp: Column, out: Column) -> Column:

@@ -66,3 +66,27 @@ def family_split(families: DataFrame, shares: tuple[float, float] = (0.5, 0.3))
     blocks = max(1, -(-families.count() // BLOCK))
     keyed = families.withColumn("order", F.md5(F.concat(F.lit("split|"), "family"))).withColumn("block", F.pmod(F.xxhash64("family"), F.lit(blocks)))
     return keyed.groupBy("block").applyInPandas(run, "family string, category string, size long, part string")
+
+
+def plugged(df: DataFrame, judge, schema: str) -> DataFrame:
+    """A judge as a function of pandas batches: the place of a model or a remote call, which this library doesn't make itself."""
+
+    def run(batches):
+        for pdf in batches:
+            yield judge(pdf)
+
+    return df.mapInPandas(run, schema)
+
+
+def stepped(value: Column, steps: list[tuple[float, str]], otherwise: str, missing: str) -> Column:
+    """The label of the highest bound that a value reaches; steps in descending order."""
+    out = F.when(value.isNull(), missing)
+    for bound, label in steps:
+        out = out.when(value >= bound, label)
+    return out.otherwise(otherwise)
+
+
+def weighted_mean(parts: list[tuple[Column, float]]) -> Column:
+    """The mean of what is there, by weight; null where nothing is."""
+    have = sum(F.when(c.isNotNull(), w).otherwise(0.0) for c, w in parts)
+    return F.try_divide(sum(F.coalesce(c, F.lit(0.0)) * w for c, w in parts), have)

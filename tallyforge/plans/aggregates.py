@@ -218,7 +218,7 @@ def preference_success(t: DataFrame) -> DataFrame:
     return s.select("task_id", "same", (F.col("same") | (F.col("r") > F.col("c"))).alias("base"), "trained", (F.col("r") == F.col("c")).alias("tie"))
 
 
-def _success(spark, d):
+def successes(spark, d):
     t = read(spark, d, "tasks").where("split_name = 'held_out' AND ground_truth_output IS NOT NULL").select("task_id", "input", "candidate_output", "ground_truth_output", "loaded_at")
     one = t.groupBy("task_id").agg(F.min_by(F.struct("input", "candidate_output", "ground_truth_output"), "loaded_at").alias("r")).select("task_id", "r.*")
     return preference_success(one)
@@ -226,7 +226,7 @@ def _success(spark, d):
 
 @query(f"SELECT task_id, same, base, trained, tie FROM ({SUCCESS})")
 def preference_successes(spark: SparkSession, d: str) -> DataFrame:
-    return _success(spark, d)
+    return successes(spark, d)
 
 
 _C = "SELECT count(*) AS n, count_if(base AND NOT trained) AS base_wins, count_if(trained AND NOT base) AS right_wins, avg(CAST(trained AS INTEGER) - CAST(base AS INTEGER)) AS lift FROM s"
@@ -239,7 +239,7 @@ _C = "SELECT count(*) AS n, count_if(base AND NOT trained) AS base_wins, count_i
 def mcnemar_exact(spark: SparkSession, d: str) -> DataFrame:
     """Discordant pairs, lift and the exact one-sided tail."""
     b, t = F.col("base").cast("int"), F.col("trained").cast("int")
-    c = _success(spark, d).agg(F.count("*").alias("n"), F.count_if(b > t).alias("base_wins"), F.count_if(t > b).alias("right_wins"), F.round(F.avg(t - b), 10).alias("lift"))
+    c = successes(spark, d).agg(F.count("*").alias("n"), F.count_if(b > t).alias("base_wins"), F.count_if(t > b).alias("right_wins"), F.round(F.avg(t - b), 10).alias("lift"))
     tail = stats.mcnemar_p((F.col("base_wins") + F.col("right_wins")).cast("int"), F.col("right_wins").cast("int"))
     return c.withColumn("p", F.round(tail, 6))
 
@@ -253,7 +253,7 @@ _CI = f"""WITH s AS ({SUCCESS}), z AS (SELECT k, CAST(trained AS INTEGER) - CAST
 @query(_CI)
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     """Paired bootstrap of the lift over held-out tasks, numbered by id."""
-    s = _success(spark, d).withColumn("diff", F.col("trained").cast("int") - F.col("base").cast("int")).select("task_id", "diff")
+    s = successes(spark, d).withColumn("diff", F.col("trained").cast("int") - F.col("base").cast("int")).select("task_id", "diff")
     return stats.bootstrap_ci(numbered(s, "task_id").select("k", "diff"), 200, 42)
 
 

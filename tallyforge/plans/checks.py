@@ -195,9 +195,6 @@ def _spark_any(t, ps):
     return hit
 
 
-_EV = r"regexp_extract(text, '(?s)(?i).{0,40}\b(budget|freeze|release|capacity)\b.{0,40}')"
-
-
 @query(rf"SELECT thread_key, min(doc_id) AS doc_id, arg_min(lower(regexp_extract(text, '(?i)\b(budget|freeze|release|capacity)\b', 1)), doc_id) AS word FROM documents WHERE regexp_matches(text, '(?i)\b(budget|freeze|release|capacity)\b') GROUP BY thread_key")
 def first_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The first document of a thread that holds a keyword, in id order."""

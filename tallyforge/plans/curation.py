@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import fields, scoring
 from tallyforge.operators import sampling
-from tallyforge.plans.aggregates import CATEGORY, category
+from tallyforge.plans.aggregates import CATEGORY, SUCCESS, category, successes
 from tallyforge.plans.registry import query
 from tallyforge.plans.texts import FAMILY, SIGNAL_DATE
 from tallyforge.session import read
@@ -188,3 +188,52 @@ def family_sizes(spark: SparkSession, d: str) -> DataFrame:
 def named_functions(spark: SparkSession, d: str) -> DataFrame:
     """The registry of named checks."""
     return spark.createDataFrame([(k,) for k in sorted(scoring.CHECKS)], "name string")
+
+
+@query("SELECT pair_id, CASE WHEN chosen_score IS NULL THEN 'unknown' WHEN chosen_score >= 0.75 THEN 'high' WHEN chosen_score >= 0.35 THEN 'medium' ELSE 'low' END AS tier FROM preference_pairs_audit")
+def score_tiers(spark: SparkSession, d: str) -> DataFrame:
+    tier = sampling.stepped(F.col("chosen_score"), [(0.75, "high"), (0.35, "medium")], "low", "unknown")
+    return read(spark, d, "preference_pairs_audit").select("pair_id", tier.alias("tier"))
+
+
+@query(
+    """SELECT pair_id, round((coalesce(chosen_score, 0) * 0.7 + coalesce(rejected_score, 0) * 0.3) / nullif(CASE WHEN chosen_score IS NULL THEN 0 ELSE 0.7 END + CASE WHEN rejected_score IS NULL THEN 0 ELSE 0.3 END, 0), 6) AS confidence FROM preference_pairs_audit"""
+)
+def weighted_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A weighted mean over the parts that are there."""
+    mean = sampling.weighted_mean([(F.col("chosen_score"), 0.7), (F.col("rejected_score"), 0.3)])
+    return read(spark, d, "preference_pairs_audit").select("pair_id", F.round(mean, 6).alias("confidence"))
+
+
+# fixed values of this corpus: words that send a text to a section, first match first
+SECTIONS = [("pricing", ["rate", "price", "charge"]), ("capacity", ["bench", "seats", "cover"]), ("timing", ["freeze", "week", "days"])]
+_SECTION = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in SECTIONS)
+
+
+@query(f"SELECT doc_id, CASE {_SECTION} ELSE 'general' END AS section FROM documents WHERE text IS NOT NULL")
+def keyword_routes(spark: SparkSession, d: str) -> DataFrame:
+    text, out = F.lower("text"), F.when(F.lit(False), "")
+    for k, ws in SECTIONS:
+        hit = F.lit(False)
+        for w in ws:
+            hit = hit | text.contains(w)
+        out = out.when(hit, k)
+    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", out.otherwise("general").alias("section"))
+
+
+@query(f"SELECT t.trace_id, t.task_id, t.latency_ms, s.same, s.base, s.trained FROM (SELECT trace_id, min(task_id) AS task_id, min(latency_ms) AS latency_ms FROM held_out_traces_raw GROUP BY trace_id) t LEFT JOIN ({SUCCESS}) s ON t.task_id = s.task_id")
+def trace_table(spark: SparkSession, d: str) -> DataFrame:
+    """Traces with the success flags of their task."""
+    t = read(spark, d, "held_out_traces_raw").groupBy("trace_id").agg(F.min("task_id").alias("task_id"), F.min("latency_ms").alias("latency_ms"))
+    return t.join(successes(spark, d), "task_id", "left").select("trace_id", "task_id", "latency_ms", "same", "base", "trained")
+
+
+@query("SELECT pair_id, CAST(len(regexp_extract_all(coalesce(chosen, ''), '[^ \\t\\n\\r]+')) AS BIGINT) AS words, len(regexp_extract_all(coalesce(chosen, ''), '[^ \\t\\n\\r]+')) >= 8 AS accepted FROM preference_pairs_audit")
+def plugged_judge(spark: SparkSession, d: str) -> DataFrame:
+    """The hook of a learned judge, with a rule in its place."""
+
+    def judge(pdf):
+        n = pdf["chosen"].fillna("").str.count("[^ \\t\\n\\r]+")
+        return pdf[["pair_id"]].assign(words=n.astype("int64"), accepted=n >= 8)
+
+    return sampling.plugged(read(spark, d, "preference_pairs_audit").select("pair_id", "chosen"), judge, "pair_id long, words long, accepted boolean")

@@ -15,12 +15,6 @@ from tallyforge.session import read
 TOKENS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w != '')"
 
 
-def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The earliest row of each key: one partial aggregation, no window over whole rows."""
-    cols = df.columns
-    return df.groupBy(F.col(key).alias("__k")).agg(F.min_by(F.struct(*cols), order).alias("r")).select("r.*")
-
-
 def _tokens(c):
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
@@ -142,11 +136,16 @@ def embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
     FROM h LEFT JOIN j ON h.task_id = j.task_id GROUP BY h.task_id"""
 )
 def family_date_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Smallest signed gap in days to a training task of the same family; undated peers don't count."""
+    """Smallest signed gap in days to a training task of the same family; undated peers don't count.
+
+    The smallest gap is the one to the family's latest day, so a family is aggregated before the join and its members are never paired."""
     t = read(spark, d, "tasks").select("task_id", "split_name", fields.family_key(F.col("metadata"), F.col("source_mode")).alias("fam"), fields.iso_date(F.col("metadata.signal_date")).alias("day")).distinct()
-    h, o = t.where("split_name = 'held_out'").drop("split_name"), t.where("split_name = 'train'").select(F.col("task_id").alias("other"), "fam", F.col("day").alias("oday"))
-    j = h.join(o, "fam", "left").withColumn("gap", F.datediff("day", "oday"))
-    g = j.groupBy("task_id").agg(F.count("other").alias("peers"), F.min("gap").alias("min_gap"), F.min_by("other", F.when(F.col("gap").isNotNull(), F.struct("gap", "other"))).alias("nearest"))
+    o = t.where("split_name = 'train'").withColumn("late", F.when(F.col("day").isNotNull(), F.struct((-F.unix_date("day")).alias("o"), F.col("task_id").alias("id"))))
+    o = o.groupBy("fam").agg(F.count("task_id").alias("peers"), F.max("day").alias("last"), F.min_by("task_id", "late").alias("latest"))
+    h = t.where("split_name = 'held_out'").join(o, "fam", "left")
+    # a task with several keys or days counts all its families
+    g = h.withColumn("gap", F.datediff("day", "last")).withColumn("key", F.when(F.col("gap").isNotNull(), F.struct("gap", "latest")))
+    g = g.groupBy("task_id").agg(F.coalesce(F.sum("peers"), F.lit(0)).alias("peers"), F.min("gap").alias("min_gap"), F.min_by("latest", "key").alias("nearest"))
     return g.withColumn("passes", F.coalesce(F.col("min_gap") >= 7, F.lit(True)))
 
 

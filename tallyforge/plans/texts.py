@@ -172,9 +172,6 @@ def focus_lists(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "tasks").select("task_id", fields.english_list(found).alias("focus"), F.when(F.length(s) <= 24, s).otherwise(F.concat(F.rtrim(F.left(s, F.lit(23))), F.lit("…"))).alias("capped"))
 
 
-_WORDS = r"len(regexp_extract_all({0}, '\S+'))"
-
-
 @query(
     rf"""WITH t AS (SELECT DISTINCT task_id, regexp_replace(coalesce(candidate_output.body, ''), '\s+', ' ', 'g') AS b FROM tasks),
     r AS (SELECT task_id, unnest([{{'o': 0, 't': b}}, {{'o': 1, 't': regexp_replace(b, '^[^.?!]*[.?!] ', '')}}, {{'o': 2, 't': regexp_extract(b, '^[^.?!]*[.?!]')}}, {{'o': 3, 't': array_to_string((string_split(b, ' '))[1:12], ' ')}}]) AS c FROM t)
