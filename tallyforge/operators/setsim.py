@@ -47,6 +47,12 @@ def _sketch(kept: DataFrame) -> np.ndarray:
     return out
 
 
+def _hints(n: int):
+    """Broadcast hints for n pairs of ids, and for n rows with a line, within their bounds."""
+    plain = lambda d: d
+    return (F.broadcast if n <= BROADCAST_PAIRS else plain), (F.broadcast if n <= BROADCAST_LINES else plain)
+
+
 def _up(a: np.ndarray, p: int, q: int) -> np.ndarray:
     return -(-a * p // q)
 
@@ -131,17 +137,18 @@ def near_by_families(kept: DataFrame, scratch: Scratch, p: int, q: int) -> DataF
         f" AND least(x.n - x.pos, y.n - y.pos) >= {least} AND bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * {least}"
     )
     pairs = scratch.keep(x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
-    hint = F.broadcast if pairs.count() <= BROADCAST_PAIRS else (lambda d: d)
+    hint, wide = _hints(pairs.count())
     side = lambda k: leaders.select(F.col("cid").alias(k), F.col("line").alias(f"lead_{k}"), F.col("m").alias(f"m_{k}"))
     wa, wb = F.split("lead_a", " "), F.split("lead_b", " ")
     shared = F.size(F.array_intersect(wa, wb))
-    met = hint(hint(pairs).join(side("a"), "a")).join(side("b"), "b").withColumn("shared", shared).where((p + q) * F.col("shared") >= p * (F.col("m_a") + F.col("m_b")))
+    met = wide(hint(pairs).join(side("a"), "a")).join(side("b"), "b").withColumn("shared", shared).where((p + q) * F.col("shared") >= p * (F.col("m_a") + F.col("m_b")))
     met = met.select("a", "b", "lead_a", "lead_b", "shared")
     alone = leaders.where("classes > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.col("line").alias("lead_a"), F.col("line").alias("lead_b"), F.size(F.split("line", " ")).alias("shared"))
     met = scratch.keep(met.unionByName(alone))
     hint = F.broadcast if met.count() <= BROADCAST_LINES else (lambda d: d)
     of = lambda k: family.select(F.col("leader").alias(k), F.col("line").alias(f"line_{k}"), F.col("n").alias(f"n_{k}"), F.col("removed").alias(f"removed_{k}"))
-    each = of("b").join(hint(of("a").join(hint(met), "a")), "b") if hint is F.broadcast else met.join(of("a"), "a").join(of("b"), "b")
+    half = scratch.keep(of("a").join(hint(met), "a"))
+    each = of("b").join(F.broadcast(half) if half.count() <= BROADCAST_LINES else half, "b")
     lost = F.size(F.array_intersect("removed_a", wb)) + F.size(F.array_intersect("removed_b", wa)) - F.size(F.array_intersect("removed_a", "removed_b"))
     near = each.withColumn("both", F.col("shared") - lost).where((p + q) * F.col("both") >= p * (F.col("n_a") + F.col("n_b")))
     different = (F.col("a") != F.col("b")) | (F.col("line_a") < F.col("line_b"))
@@ -164,10 +171,9 @@ def near_classes(kept: DataFrame, scratch: Scratch, p: int, q: int, sides: tuple
     if sides:
         on = on & F.expr("(x.{0} AND y.{1}) OR (x.{1} AND y.{0})".format(*sides))
     pairs = scratch.keep(probe.join(index, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
-    small = pairs.count() <= BROADCAST_PAIRS
-    hint = F.broadcast if small else (lambda d: d)
+    hint, wide = _hints(pairs.count())
     a, b = (kept.select(F.col("cid").alias(k), F.col("line").alias(f"line_{k}"), *[F.col(f).alias(f"{f}_{k}") for f in flags]) for k in "ab")
-    both_lines = hint(hint(pairs).join(a, "a")).join(b, "b")
+    both_lines = wide(hint(pairs).join(a, "a")).join(b, "b")
     wa, wb = F.split("line_a", " "), F.split("line_b", " ")
     shared = F.size(F.array_intersect(wa, wb))
     near = both_lines.where((F.col("line_a") != F.col("line_b")) & (q * shared >= p * (F.size(wa) + F.size(wb) - shared)))

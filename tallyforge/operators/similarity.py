@@ -43,32 +43,83 @@ def jaccard_pairs(df: DataFrame, num: int, den: int) -> DataFrame:
     return out.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "shared", "united").distinct()
 
 
+QUERY_BLOCK = 4096
+
+
+def _blocks(left: DataFrame, cols: list[str]):
+    """The query side in pandas blocks of about QUERY_BLOCK rows: it is a stated set of rows, sent to all tasks block by block."""
+    n = max(1, -(-left.count() // QUERY_BLOCK))
+    keyed = left.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(n)))
+    for k in range(n):
+        part = keyed.where(F.col("__b") == k).select(*cols).toPandas()
+        if len(part):
+            yield part
+
+
 def lexical_nearest(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left, right: (id, tokens). The right record of greatest raw term-frequency cosine, compared by exact integers dot and norm2."""
-    tf = lambda df: df.select("id", F.explode("tokens").alias("tok")).groupBy("id", "tok").agg(F.count("*").alias("c"))
-    l, r = tf(left), tf(right)
-    norm = r.groupBy("id").agg(F.sum(F.col("c") * F.col("c")).alias("norm2"))
-    dot = l.alias("l").join(r.alias("r"), "tok").where("l.id != r.id").groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b")).agg(F.sum(F.col("l.c") * F.col("r.c")).alias("dot"))
-    scored = dot.join(norm.withColumnRenamed("id", "b"), "b").withColumn("key", F.col("dot") * F.col("dot") / F.col("norm2"))
-    return scored.groupBy("a").agg(F.min_by(F.struct("b", "dot", "norm2"), F.struct(-F.col("key"), F.col("b"))).alias("m")).select("a", "m.b", "m.dot", "m.norm2")
+    """left, right: (id, tokens). (a, b, dot, norm2): the right record of greatest raw term-frequency cosine for each left record that
+    shares a token with any, compared by dot squared over the right side's squared norm; ties go to the smallest id.
+
+    Each task counts the block's words in its rows, multiplies, and keeps its best by query: what is shuffled is queries x tasks.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark, out = left.sparkSession, None
+    for part in _blocks(left, ["id", "tokens"]):
+        vocab: dict[str, int] = {}
+        cells = [(vocab.setdefault(t, len(vocab)), q) for q, toks in enumerate(part["tokens"]) for t in (toks if toks is not None else ())]
+        weights = np.zeros((max(1, len(vocab)), len(part)), np.float32)
+        if cells:
+            np.add.at(weights, tuple(np.array(cells).T), 1)
+        held = spark.sparkContext.broadcast((part["id"].to_numpy(np.int64), vocab, weights))
+
+        def run(batches, held=held):
+            ids, vocab, weights = held.value
+            nq = len(ids)
+            best = [np.full(nq, -1.0), np.full(nq, -1, np.int64), np.zeros(nq, np.int64), np.zeros(nq, np.int64)]
+            for b in batches:
+                rid, toks = b.column("id").to_numpy(), b.column("tokens").to_pylist()
+                for lo in range(0, len(rid), 256):
+                    part = toks[lo : lo + 256]
+                    x, norm = np.zeros((len(part), len(weights)), np.float32), np.ones(len(part))
+                    for i, t in enumerate(part):
+                        count: dict[str, int] = {}
+                        for w in t or ():
+                            count[w] = count.get(w, 0) + 1
+                        norm[i] = sum(c * c for c in count.values()) or 1
+                        for w, c in count.items():
+                            if (k := vocab.get(w)) is not None:
+                                x[i, k] = c
+                    dot = (x @ weights).astype(np.float64)
+                    key = dot * dot / norm[:, None]
+                    own = rid[lo : lo + 256]
+                    key[(dot <= 0) | (own[:, None] == ids[None, :])] = -1.0
+                    order = np.argsort(own, kind="stable")  # of equal keys the first, so the smallest id
+                    j = order[key[order].argmax(0)]
+                    top, who = key[j, np.arange(nq)], own[j]
+                    better = (top > best[0]) | ((top == best[0]) & (top >= 0) & (who < best[1]))
+                    for old, new in zip(best, (top, who, dot[j, np.arange(nq)].astype(np.int64), norm[j].astype(np.int64)), strict=True):
+                        old[better] = new[better]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, best)], ["a", "key", "b", "dot", "norm2"])
+
+        found = right.select("id", "tokens").mapInArrow(run, "a long, key double, b long, dot long, norm2 long").where("b >= 0 AND key > 0")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "a long, b long, dot long, norm2 long")
+    return out.groupBy("a").agg(F.min_by(F.struct("b", "dot", "norm2"), F.struct(-F.col("key"), F.col("b"))).alias("m")).select("a", "m.b", "m.dot", "m.norm2")
 
 
 def dense_nearest(left: DataFrame, right: DataFrame, dim: int) -> DataFrame:
     """left, right: (id, vec). Nearest right vector by cosine, blockwise in Arrow batches.
 
-    The query side is a stated set of rows that is sent to all tasks in blocks of bounded size; each task keeps its best by query,
-    so what is shuffled is queries x partitions, not pairs.
+    Each task keeps its best by query, so what is shuffled is queries x tasks, not pairs.
     """
     import numpy as np
     import pyarrow as pa
 
-    spark, block = left.sparkSession, 4096
-    total = left.count()
-    out = None
-    for k in range(max(1, -(-total // block))):
-        part = left.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // block))))).where(F.col("blk") == k).select("id", "vec").toPandas()
-        if not len(part):
-            continue
+    spark, out = left.sparkSession, None
+    for part in _blocks(left, ["id", "vec"]):
         ids = part["id"].to_numpy(np.int64)
         q = np.stack(part["vec"].to_numpy()).astype(np.float64)
         held = spark.sparkContext.broadcast((ids, q / (np.sqrt((q * q).sum(1, keepdims=True)) + 1e-10)))

@@ -45,6 +45,24 @@ def test_dense_nearest_in_blocks(spark):
             assert abs(cos(by[a], by[b]) - best) < 1e-5
 
 
+@pytest.mark.parametrize("block", [4096, 5])
+def test_lexical_nearest_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", block)
+    rng = random.Random(3)
+    rows = [(i, [f"w{rng.randrange(15)}" for _ in range(rng.randrange(9))]) for i in range(60)] + [(70, None), (71, ["only"])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    got = {r.a: (r.b, r.dot, r.norm2) for r in similarity.lexical_nearest(df.where("id % 3 = 0 OR id > 60"), df).collect()}
+    count = lambda t: {w: (t or []).count(w) for w in set(t or [])}
+    want = {}
+    for a, t in rows:
+        if a % 3 == 0 or a > 60:
+            x = count(t)
+            scored = [(-(d * d / n), b, d, n) for b, u in rows if b != a for y in [count(u)] for d in [sum(x.get(w, 0) * c for w, c in y.items())] for n in [sum(c * c for c in y.values())] if d]
+            if scored:
+                want[a] = min(scored)[1:]
+    assert got == want
+
+
 def test_upper_median_and_exact_test(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "v double")
     assert df.agg(stats.upper_median(F.col("v")).alias("m")).collect()[0].m == 3.0
