@@ -19,32 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TARGETS = 10_000
-#: The knapsack program runs over remaining budgets up to this; greater ones are first filled by an even part of each length.
-FIT_TOKENS = 2_000_000
+#: The knapsack program runs over remaining budgets up to this; what is beyond is filled by an even part and the longest first.
+FIT_TOKENS = 500_000
 #: Documents of a length are picked by hash cells, ranked only inside the cell where the pick ends.
 CELLS = 64
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take so that the sum is as near to budget as possible without passing it."""
-    take = np.zeros(len(lengths), np.int64)
-    total = int(lengths @ counts)
-    if budget >= total:
-        return counts.copy()
-    if budget <= 0 or not total:
-        return take
-    take = counts * budget // total
-    left, spare = budget - int(lengths @ take), counts - take
-    reserve = min(FIT_TOKENS // 2, 8 * int(lengths.max()))
-    for j in np.argsort(-lengths):  # a large rest is cut down by the longest first
-        if left <= reserve:
-            break
-        more = min(int(spare[j]), (left - reserve) // int(lengths[j]))
-        take[j] += more
-        spare[j] -= more
-        left -= more * int(lengths[j])
-    # bounded knapsack: by binary parts of the spare counts, came[s] is the part with which the sum s was reached first
-    came = np.full(left + 1, -1, np.int32)
+def _fill(lengths: np.ndarray, spare: np.ndarray, left: int) -> np.ndarray:
+    """Bounded knapsack: the spare documents whose lengths sum to as much of left as can be. came[s] is the binary part of a length's
+    count with which the sum s was reached first, so the parts of a sum are read back along it."""
+    take, came = np.zeros(len(lengths), np.int64), np.full(left + 1, -1, np.int32)
     came[0] = 0
     parts: list[tuple[int, int]] = [(0, 0)]
     for j in range(len(lengths)):
@@ -66,6 +50,39 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length to take so that the sum is as near to budget as can be without passing it.
+
+    An even part of every length comes first, so that the pick keeps the source's lengths; the program fits the rest. Where the rest
+    can't be fitted to the token, a smaller even part is tried, down to none, which finds the best sum there is for budgets up to
+    FIT_TOKENS.
+    """
+    total = int(lengths @ counts) if len(lengths) else 0
+    if budget >= total:
+        return counts.copy()
+    best = np.zeros(len(lengths), np.int64)
+    if budget <= 0:
+        return best
+    most = int(lengths.max())
+    for share in (1.0, 0.9, 0.5, 0.0):
+        take = counts * int(budget * share) // total
+        left, spare = budget - int(lengths @ take), counts - take
+        reserve = FIT_TOKENS if share == 0 else min(FIT_TOKENS, max(64, len(lengths)) * most)
+        for j in np.argsort(-lengths):  # what is left beyond the program's reach is cut down by the longest first
+            if left <= reserve:
+                break
+            more = min(int(spare[j]), (left - reserve) // int(lengths[j]))
+            take[j] += more
+            spare[j] -= more
+            left -= more * int(lengths[j])
+        take = take + _fill(lengths, spare, left)
+        if take @ lengths > best @ lengths:
+            best = take
+        if best @ lengths == budget:
+            break
+    return best
+
+
 def plan_mix(targets: list[tuple[int, str, float, int]], sizes: dict[str, tuple[np.ndarray, np.ndarray]]) -> list[dict]:
     """Budgets, whole copies and picks by length of every source of every mix."""
     by = defaultdict(list)
