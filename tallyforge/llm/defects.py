@@ -2,8 +2,8 @@
 
 Each response gets one defect at most, the first that holds of: it says nothing; it repeats its prompt; it declines; it isn't in
 the prompt's language; it stops early. Copy, language and termination are checks of the pair itself. Refusals come from clusters:
-the opening sentences, without names and numbers, are put into buckets by MinHash bands over five-word shingles and clustered where
-they are verified to be near (Jaccard 0.8 or more). A cluster refuses if it recurs across prompts and half or more of its records
+the opening sentences, without names and numbers, are sets of five-word shingles, linked where they are near (Jaccard 0.8 or more) by
+an exact set join (setsim), and closed into connected components. A cluster refuses if it recurs across prompts and half or more of its records
 decline, or if all of its openings do; a record refuses if one of its openings is in a refusing cluster.
 
 Defined results: a null response says nothing; a null prompt can neither be copied nor set a language; null ids are ignored; of
@@ -15,16 +15,19 @@ from __future__ import annotations
 import json
 import re
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.groupsplit import connected
+from tallyforge.operators.setsim import classes, near_classes
 from tallyforge.session import Scratch
 
 COPY_SHARE = 0.72
-SHINGLE, BANDS, ROWS, NEAR = 5, 20, 5, 0.8
+SHINGLE, NEAR = 5, (4, 5)
+#: Sets of fewer shingles are near no other set.
+LEAST = 4
 #: An opening is the beginning of one of the first sentences; whether a sentence declines is told from all of it.
 OPENINGS, OPENING_WORDS = 3, 60
 
@@ -278,45 +281,29 @@ def _features(batches):
 
 def _shingles(opening: str) -> set[str]:
     w = opening.split(" ")
-    return {" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
+    return {"_".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
 
 
-def _bands(batches):
-    seeds = np.random.default_rng(5).integers(1, 1 << 62, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
+def _sets(batches):
     for b in batches:
-        at, keys = [], []
-        for i, o in enumerate(b.column("opening").to_pylist()):
-            h = np.array([xxhash.xxh64_intdigest(s) for s in _shingles(o)], np.uint64)
-            sig = (h[:, None] * seeds[:, 0] + seeds[:, 1]).min(0).reshape(BANDS, ROWS)
-            for k in range(BANDS):
-                at.append(i)
-                keys.append(xxhash.xxh64_intdigest(sig[k].tobytes(), seed=k) - (1 << 63))
-        yield pa.RecordBatch.from_arrays([b.column("opening").take(pa.array(at, pa.int64())), pa.array(keys, pa.int64())], ["opening", "band"])
-
-
-def _verified(batches):
-    for b in batches:
-        good = []
-        for i, (x, y) in enumerate(zip(b.column("opening").to_pylist(), b.column("first").to_pylist(), strict=True)):
-            one, two = _shingles(x), _shingles(y)
-            if len(one & two) >= NEAR * len(one | two):
-                good.append(i)
-        yield b.take(pa.array(good, pa.int64()))
+        lines = [" ".join(sorted(_shingles(o))) for o in b.column("opening").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("opening"), pa.array(lines, pa.string())], ["opening", "line"])
 
 
 def clusters(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(opening, cluster, n, declines, low, high) of every opening: its records, whether it declines, and the prompts it answers.
 
-    An opening's cluster is the first opening, in text order, of any of its buckets that is verified to be near. A bucket is only
-    compared with its first opening, so it is never paired with itself.
+    Openings whose sets of shingles have a Jaccard similarity of NEAR or more are linked, by an exact join; a cluster is a connected
+    component of the links, so chains are closed.
     """
     each = found.select("prompt_key", F.explode("openings").alias("o")).select("prompt_key", "o.opening", "o.declines")
-    seen = scratch.keep(each.groupBy("opening").agg(F.bool_or("declines").alias("declines"), F.count("*").alias("n"), F.min("prompt_key").alias("low"), F.max("prompt_key").alias("high")))
-    banded = scratch.keep(seen.select("opening").mapInArrow(_bands, "opening string, band long"))
-    first = banded.groupBy("band").agg(F.min("opening").alias("first"))
-    near = banded.join(first, "band").where("opening != first").select("opening", "first").distinct()
-    of = near.mapInArrow(_verified, "opening string, first string").groupBy("opening").agg(F.min("first").alias("cluster"))
-    return seen.join(of, "opening", "left").withColumn("cluster", F.coalesce("cluster", "opening"))
+    seen = each.groupBy("opening").agg(F.bool_or("declines").alias("declines"), F.count("*").alias("n"), F.min("prompt_key").alias("low"), F.max("prompt_key").alias("high"))
+    seen = scratch.keep(seen)
+    sets = scratch.keep(seen.select("opening").mapInArrow(_sets, "opening string, line string"))
+    near = near_classes(scratch.keep(classes(sets, LEAST, [])), scratch, *NEAR)
+    roots = connected(near.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    of = sets.select("opening", F.xxhash64("line").alias("node")).join(roots, "node", "left").select("opening", F.coalesce("root", "node").alias("cluster"))
+    return seen.join(of, "opening")
 
 
 def refusal_openings(found: DataFrame, scratch: Scratch) -> DataFrame:

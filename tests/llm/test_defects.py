@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 from tallyforge.llm import defects as d
+from tallyforge.session import Scratch
 
 PROMPT = "Judge the reply drafted for Nova Studio. The brief says that Elm opened 40 frontend roles. Return a verdict and one reason."
 GERMAN = "Bewerten Sie die Antwort an Nova Systems. Das Signal nennt 23 offene Stellen bei Elm. Geben Sie ein Urteil mit Begründung."
@@ -40,6 +43,42 @@ def test_clusters_carry_refusals_to_near_openings(spark):
     assert got == {1: "refusal", 2: "refusal", 3: "refusal"}
 
 
+def test_clusters_are_whole_components_of_all_near_openings(spark):
+    rng = random.Random(4)
+    base = [" ".join(f"w{rng.randrange(900)}" for _ in range(24)) for _ in range(12)]
+    texts = set(base)
+    for b in base:  # chains: each changes another end of the one before
+        for k in range(6):
+            w = b.split(" ")
+            w[k % 2 * -1] = f"x{rng.randrange(9)}"
+            b = " ".join(w[:-1] if k % 3 == 2 else w)
+            texts.add(b)
+    schema = "prompt_key long, openings array<struct<opening: string, declines: boolean>>"
+    found = spark.createDataFrame([(i, [(x, False)]) for i, x in enumerate(sorted(texts))], schema)
+    of = {r.opening: r.cluster for r in d.clusters(found, Scratch(spark, "clusters")).collect()}
+    root, grams = {x: x for x in texts}, {x: d._shingles(x) for x in texts}
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+
+    for a in texts:
+        for b in texts:
+            if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                root[top(a)] = top(b)
+    want = {frozenset(x for x in texts if top(x) == t) for t in map(top, texts)}
+    assert {frozenset(x for x in texts if of[x] == c) for c in of.values()} == want and len(want) < len(texts)
+
+
+def test_a_refusal_reaches_openings_that_are_near_it_only_by_a_chain(spark):
+    w = [f"word{i}" for i in range(50)]
+    first, declining, last = " ".join(["Any", *w[:46]]), " ".join(["I cannot help", *w]), " ".join(["People", *w[4:]])
+    texts = [declining, declining, declining, first, last]
+    near = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    x, y, z = (d._shingles(d.openings(s)[0][0]) for s in (first, declining, last))
+    assert near(x, y) and near(y, z) and not near(x, z)
+    assert run(spark, [(i, (f"Prompt of {'abcde'[i]} here.", s + ".")) for i, s in enumerate(texts)]) == dict.fromkeys(range(5), "refusal")
+
+
 def test_repeats_nulls_and_long_texts(spark):
     rows = [(1, (None, "Fine.")), (1, (None, "Fine.")), (2, (None, None)), (3, ("", "x " * 20000)), (None, (PROMPT, None)), (4, (PROMPT, "The text holds. " * 3000))]
     got = run(spark, rows)
