@@ -75,6 +75,9 @@ TASK = r"(?:task|request|prompt|assessment|rating|verdict|review|e-?mail|reply|d
 SELF = r"(?:i|we|the assistant|this assistant|the model)"
 CANNOT = r"(?:can(?:no|')t|can not|cannot|couldn't|could not|won't|will not|am not (?:able|allowed|permitted|going|willing)|'m not (?:able|allowed|permitted|going|willing)|am unable|'m unable|are unable|may not|must not|should not|shouldn't|do not wish|don't wish|would rather not|'d rather not|prefer not)"
 DO = r"(?:help|assist|provide|write|draft|produce|complete|fulfil+|answer|respond|evaluat\w+|judge|rate|review|do|take (?:this|that|it|on)|take on|go ahead|proceed|comply|continue|comment|engage|offer an?|give an?|create|generate|support (?:this|that)|discuss|prepare|compose|carry out|handle|assess|be able to|perform)"
+DE_DO = r"(?:helfen|weiterhelfen|beantworten|verfassen|schreiben|erstellen|bewerten|beurteilen|nachkommen|erfüllen|bearbeiten|behilflich)"
+FR_DO = r"(?:aider|répondre|rédiger|écrire|évaluer|juger|donner suite|traiter|satisfaire|accéder à)"
+ES_DO = r"(?:ayudar|responder|redactar|escribir|evaluar|juzgar|valorar|atender|cumplir|completar)(?:le|les|te|lo|la|los|las)?"
 DECLINES = [
     re.compile(p)
     for p in (
@@ -103,6 +106,16 @@ DECLINES = [
         rf"\b(?:i'll|i will|i) (?:have to|must|need to|am going to) (?:pass|stop here|skip (?:this|that|it))\b",
         r"\b(?:not something|nothing) (?:i|we) (?:can|could|may|am able to|am willing to|will) (?:help|assist|do|write|answer|provide)\b",
         rf"\b(?:cannot|can't|won't|will not) comply\b|\bcount me out\b|\bdecline to (?:{DO[3:-1]})\b.{{0,3}}$",
+        # the other languages of the tables' prompts: German, French, Spanish
+        rf"\b(?:(?:ich|wir) (?:kann|können|darf|dürfen|werde|werden|möchte|möchten)|(?:kann|können|darf|dürfen|werde|werden|möchte|möchten) (?:ich|wir))\b[^,;]{{0,60}}\b(?:nicht|keine?n?)\b[^,;]{{0,60}}\b{DE_DO}\b",
+        r"\b(?:(?:ich|wir) (?:muss|müssen)|(?:muss|müssen) (?:ich|wir))\b[^;]{0,60}\b(?:ablehnen|verweigern)\b|\b(?:(?:ich|wir) (?:lehne|lehnen)|(?:lehne|lehnen) (?:ich|wir))\b[^,;]{0,60}\bab\b",
+        r"\b(?:ich bin|bin ich|wir sind|sind wir) (?:\w+ )?nicht (?:in der lage|befugt|berechtigt)\b|\bals (?:ki|sprachmodell|ki-\w+|künstliche intelligenz)\b.{0,60}\b(?:nicht|keine?n?)\b",
+        rf"\b(?:je|nous) (?:ne |n')(?:(?:vous|te|y|le|la) )?(?:peux|puis|pouvons|vais|allons|veux|voulons|souhaite|souhaitons|saurais)(?: malheureusement)? pas\b[^,;]{{0,40}}\b{FR_DO}\b",
+        r"\b(?:je ne suis|nous ne sommes) (?:malheureusement )?pas (?:en mesure|autorisée?s?) \b|\bil m'est impossible d|\b(?:je (?:dois|me vois contrainte? de)|nous devons) (?:\w+ )?(?:refuser|décliner)\b|\bje (?:refuse|décline)\b",
+        r"\ben tant qu(?:e |')(?:ia|assistant|modèle|intelligence artificielle)\b.{0,60}\b(?:pas|impossible)\b",
+        rf"\bno (?:(?:le|les|te|lo|la) )?(?:puedo|podemos|podré|voy a|vamos a|quiero|debo)\b[^,;]{{0,40}}\b{ES_DO}\b",
+        r"\b(?:debo|tengo que|debemos|tenemos que) (?:\w+ )?(?:rechazar|negarme|negarnos|declinar)\b|\bme niego a\b|\bno (?:estoy|estamos) autorizad[oa]s? (?:a|para)\b|\bno me es posible\b",
+        r"\bcomo (?:ia|modelo de lenguaje|asistente|inteligencia artificial)\b.{0,60}\bno (?:puedo|debo)\b",
     )
 ]
 

@@ -79,6 +79,22 @@ def test_a_refusal_reaches_openings_that_are_near_it_only_by_a_chain(spark):
     assert run(spark, [(i, (f"Prompt of {'abcde'[i]} here.", s + ".")) for i, s in enumerate(texts)]) == dict.fromkeys(range(5), "refusal")
 
 
+SPOKEN = {
+    "Bewerten Sie die Antwort und nennen Sie die Begründung, die für das Urteil wichtig ist.": (["Leider kann ich bei dieser Anfrage nicht helfen.", "Ich muss diese Bitte ablehnen."], "Wir können nicht das ganze Team zusagen, aber ein Teil ist frei."),
+    "Évaluez la réponse et donnez une raison pour le verdict que vous avez choisi.": (["Je ne peux pas vous aider avec cette demande.", "Je dois refuser cette tâche."], "Je préfère ne pas avoir d'appel pour le moment."),
+    "Evalúe la respuesta y dé una razón para el veredicto que usted ha elegido.": (["Lo siento, no puedo ayudarle con esta solicitud.", "Debo rechazar esta petición."], "Prefiero seguir por correo y no tener una reunión todavía."),
+}
+
+
+def test_refusals_in_the_languages_of_the_prompts(spark):
+    rows, want = [], {}
+    for prompt, (refusals, good) in SPOKEN.items():
+        for text in (*refusals, good):
+            want |= {len(rows): "refusal"} if text != good else {}
+            rows.append((len(rows), (prompt, text)))
+    assert run(spark, rows) == want
+
+
 def test_repeats_nulls_and_long_texts(spark):
     rows = [(1, (None, "Fine.")), (1, (None, "Fine.")), (2, (None, None)), (3, ("", "x " * 20000)), (None, (PROMPT, None)), (4, (PROMPT, "The text holds. " * 3000))]
     got = run(spark, rows)
