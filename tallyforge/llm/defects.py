@@ -2,7 +2,7 @@
 
 Each response gets one defect at most, the first that holds of: it says nothing; it repeats its prompt; it declines; it isn't in
 the prompt's language; it stops early. Copy, language and termination are checks of the pair itself. Refusals come from clusters:
-the opening sentences, without names and numbers, are sets of five-word shingles, linked where they are near (Jaccard 0.8 or more) by
+the sentences, here called openings, without names and numbers, are sets of five-word shingles, linked where they are near (Jaccard 0.8 or more) by
 an exact set join (setsim), and closed into connected components. A cluster refuses if it recurs across prompts and half or more of its records
 decline, or if all of its openings do; a record refuses if one of its openings is in a refusing cluster.
 
@@ -28,8 +28,6 @@ COPY_SHARE = 0.72
 SHINGLE, NEAR = 5, (4, 5)
 #: Sets of fewer shingles are near no other set.
 LEAST = 4
-#: An opening is the beginning of one of the first sentences; whether a sentence declines is told from all of it.
-OPENINGS, OPENING_WORDS = 3, 60
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 FENCE = re.compile(r"```[\w-]*")
@@ -251,8 +249,8 @@ def is_truncated(response: str, json_whole: bool | None) -> bool:
 
 
 def openings(text: str) -> list[tuple[str, bool]]:
-    """The first sentences: words without names and numbers, and whether they decline."""
-    out = []
+    """Each sentence once: its words without names and numbers, and whether it declines."""
+    out: dict[str, bool] = {}
     for m in SENTENCE.finditer(QUOTED.sub(" ", text)):
         s = m.group().strip()
         tokens = WORD.findall(s.replace("’", "'"))
@@ -261,10 +259,9 @@ def openings(text: str) -> list[tuple[str, bool]]:
         low = " ".join(s.lower().replace("’", "'").split())
         kept = [t.lower() for i, t in enumerate(tokens) if (i == 0 or not t[0].isupper() or t in ("I", "I'm", "I'd", "I'll")) and not t[0].isdigit()]
         if len(kept) >= 2:
-            out.append((" ".join(kept[:OPENING_WORDS]), any(rx.search(low) for rx in DECLINES)))
-        if len(out) == OPENINGS + 1:
-            break
-    return out
+            key = " ".join(kept)
+            out[key] = out.get(key, False) or any(rx.search(low) for rx in DECLINES)
+    return list(out.items())
 
 
 FEATURES = "record_kind string, record_id long, defect string, foreign boolean, cut boolean, prompt_key long, openings array<struct<opening: string, declines: boolean>>"

@@ -95,6 +95,13 @@ def test_refusals_in_the_languages_of_the_prompts(spark):
     assert run(spark, rows) == want
 
 
+def test_late_and_long_sentences_count_whole(spark):
+    late = "Re: our talk. Hello there. We read it. The plan is clear. It was sent today. I can't help with that request."
+    long = "this note says again that " + " ".join(f"word{i}" for i in range(60))
+    rows = [(1, ("One prompt.", late)), (2, ("Other prompt.", f"{long} and I cannot help with that.")), (3, ("Third prompt.", f"{long} " + " ".join(f"more{i}" for i in range(30)) + "."))]
+    assert run(spark, rows) == {1: "refusal", 2: "refusal"}
+
+
 def test_repeats_nulls_and_long_texts(spark):
     rows = [(1, (None, "Fine.")), (1, (None, "Fine.")), (2, (None, None)), (3, ("", "x " * 20000)), (None, (PROMPT, None)), (4, (PROMPT, "The text holds. " * 3000))]
     got = run(spark, rows)
