@@ -52,7 +52,9 @@ def bootstrap_ci(diffs: DataFrame, rounds: int, seed: int) -> DataFrame:
 
 
 def mcnemar_p(discordant: Column, wins: Column) -> Column:
-    """One-sided exact binomial tail of wins among discordant pairs, by a running product; 1 where there are none."""
-    start = F.struct(F.pow(F.lit(0.5), discordant).alias("p"), F.lit(0.0).alias("s"))
-    step = lambda a, k: F.struct((a["p"] * (discordant - k) / (k + 1)).alias("p"), (a["s"] + F.when(k >= wins, a["p"]).otherwise(0.0)).alias("s"))
-    return F.when(discordant == 0, 1.0).otherwise(F.aggregate(F.sequence(F.lit(0), discordant), start, step, lambda a: a["s"]))
+    """One-sided exact binomial tail of wins among discordant pairs; 1 where there are none. The running product is kept as a
+    logarithm: its first term, 0.5 to the power of discordant, is no double above 1,074."""
+    start = F.struct((-discordant * F.log(F.lit(2.0))).alias("p"), F.lit(0.0).alias("s"))
+    step = lambda a, k: F.struct((a["p"] + F.when(k < discordant, F.log(discordant - k) - F.log(k + 1)).otherwise(0.0)).alias("p"), (a["s"] + F.when(k >= wins, F.exp(a["p"])).otherwise(0.0)).alias("s"))
+    tail = F.aggregate(F.sequence(F.lit(0), discordant), start, step, lambda a: F.least(a["s"], F.lit(1.0)))
+    return F.when(wins <= 0, 1.0).otherwise(tail)

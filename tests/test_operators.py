@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -71,6 +72,15 @@ def test_upper_median_and_exact_test(spark):
     assert abs(p[36] - 2**-36) < 1e-18 and abs(p[24] - 1.7941e-05) < 1e-9 and p[0] == 1.0 and p[2] == 1.0
 
 
+def test_exact_test_of_many_pairs(spark):
+    cases = [(1074, 560), (1075, 0), (1200, 620), (1200, 1200), (5000, 2450), (5000, 2500), (20000, 10100)]
+    rows = spark.createDataFrame(cases, "n int, w int").select("n", "w", stats.mcnemar_p(F.col("n"), F.col("w")).alias("p")).collect()
+    for r in rows:
+        want = sum(math.comb(r.n, k) for k in range(r.w, r.n + 1)) if r.n < 9999 else None
+        want = want / 2**r.n if want is not None else 0.5 * math.erfc((r.w - 0.5 - r.n / 2) / (r.n / 4) ** 0.5 / 2**0.5)
+        assert abs(r.p - want) < (1e-9 if r.n < 9999 else 1e-4), r
+
+
 def test_bootstrap_holds_the_mean(spark):
     df = spark.range(60).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, 1).otherwise(0).alias("diff"))
     r = stats.bootstrap_ci(df, 100, 7).collect()[0]
