@@ -22,6 +22,7 @@ class NearDuplicates:
 
     def __init__(self, records: DataFrame, id_col: str, line: Column, p: int = 7, q: int = 10, least: int = 8):
         self.scratch = Scratch(records.sparkSession, "neardup")
+        self.ids = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
         self.members = self.scratch.keep(lines(records, id_col, line).distinct().where(F.size(F.split("line", " ")) >= least))
         self.kept = self.scratch.keep(classes(self.members, least, []))
         self.links = near_by_families(self.kept, self.scratch, p, q)
@@ -37,8 +38,13 @@ class NearDuplicates:
         return two.where("x != y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
     def groups(self) -> DataFrame:
-        """(id, class_id, class_size, links): a row for each record; class_id is the smallest id with the same word set, links the
+        """(id, class_id, class_size, links): a row for each record that can be near another; class_id is the smallest id with the same word set, links the
         number of near classes."""
         links = self.links.select(F.col("line_a").alias("line")).unionByName(self.links.select(F.col("line_b").alias("line"))).groupBy("line").agg(F.count("*").alias("links"))
         named = self.members.groupBy("line").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")).join(links, "line", "left")
         return self.members.join(named, "line").select("id", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+
+    def all_groups(self) -> DataFrame:
+        """The groups, and each record whose line is null or too short to be near another as a class of its own."""
+        alone = self.ids.distinct().join(self.members.select("id"), "id", "left_anti")
+        return self.groups().unionByName(alone.select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links")))

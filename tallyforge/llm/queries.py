@@ -104,6 +104,11 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).groups().withColumnRenamed("id", "task_id")
 
 
+def p6_all_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups with a row for every task."""
+    return _near(spark, d).all_groups().withColumnRenamed("id", "task_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of each document."""
     return encode.encode(read(spark, d, "documents"), "text", ["doc_id"])
@@ -135,5 +140,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_report, p4_found, p4_splits, p4_report, p5_found, p5_report, p6_found, p6_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_redacted)
+    f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_report, p4_found, p4_splits, p4_report, p5_found, p5_report, p6_found, p6_groups, p6_all_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_redacted)
 }

@@ -86,6 +86,14 @@ def test_one_hot_line_stays_one_class(spark):
     assert found.kept.count() == 2 and found.links.count() == 1 and found.pairs().count() == 61 * 60 // 2
 
 
+def test_all_groups_have_a_row_for_every_record(spark):
+    line = " ".join(f"h{i}" for i in range(10))
+    rows = [("a", line), ("b", line), ("c", None), ("d", " "), ("e", "too short"), ("f", "too short"), ("f", "too short"), (None, line), ("g", line + " more")]
+    found = neardup.NearDuplicates(spark.createDataFrame(rows, "task_id string, line string"), "task_id", F.col("line"))
+    got = sorted(tuple(r) for r in found.all_groups().collect())
+    assert got == [("a", "a", 2, 1), ("b", "a", 2, 1), *[(k, k, 1, 0) for k in "cdef"], ("g", "g", 1, 1)]
+
+
 @pytest.mark.parametrize("limit", [30_000, -1])
 def test_cross_split_equals_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(overlap, "BROADCAST_LINES", limit)
