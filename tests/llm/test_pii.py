@@ -1,7 +1,8 @@
 import pytest
 
 from tallyforge.llm import pii
-from tallyforge.llm.pii_grammar import labelled
+from tallyforge.llm.pii_grammar import WORLD_FAMILY, WORLD_GIVEN, labelled
+from tests.llm import pii_sentences
 
 GIVEN = ["Talmo", "Brisa", "Helvus", "Jorlan", "Sage", "Merit", "Quinel", "Derri", "Pelsan", "Vatra", "Norlo", "Kelsis"]
 FAMILY = ["Doraberg", "Felwick", "Hanosen", "Kilmann", "Stone", "Bradahl", "Vorberg", "Lunwick", "Talsen", "Gramann", "Ostedahl", "March"]
@@ -9,7 +10,8 @@ FAMILY = ["Doraberg", "Felwick", "Hanosen", "Kilmann", "Stone", "Bradahl", "Vorb
 
 @pytest.fixture(scope="module")
 def tagger():
-    return pii.Tagger(GIVEN, FAMILY, pii.train(labelled(GIVEN, FAMILY, 4000, 1), pii.Gazetteer(GIVEN, FAMILY)))
+    names = pii.Gazetteer(GIVEN, FAMILY, pii.usual_words())
+    return pii.Tagger(names, pii.train(labelled(GIVEN, FAMILY, 16000, 1), names))
 
 
 def found(tagger, text):
@@ -21,7 +23,32 @@ def test_held_out_accuracy(tagger):
     for text, gold in labelled(GIVEN, FAMILY, 800, 77):
         got = set(tagger.items(text))
         hit, wrong, missed = hit + len(got & gold), wrong + len(got - gold), missed + len(gold - got)
-    assert hit / (hit + wrong) > 0.97 and hit / (hit + missed) > 0.95
+    assert hit / (hit + wrong) > 0.96 and hit / (hit + missed) > 0.94
+
+
+def test_unseen_names_in_sentences_kept_apart(tagger):
+    """Names that no table and no rule of the grammar holds, in sentences of another hand."""
+    cases = pii_sentences.labelled() + pii_sentences.labelled(pii_sentences.PLAIN)
+    held = {w for text, gold in cases for a, b, _ in gold for w in text[a:b].split()}
+    assert len(held & {*GIVEN, *FAMILY, *WORLD_GIVEN, *WORLD_FAMILY}) == 0
+    hit = wrong = missed = 0
+    for text, gold in cases:
+        got = set(tagger.items(text))
+        hit, wrong, missed = hit + len(got & gold), wrong + len(got - gold), missed + len(gold - got)
+    assert hit / (hit + missed) >= 0.88 and hit / (hit + wrong) >= 0.9
+
+
+def test_nothing_is_cut_by_length(tagger):
+    local, host = "a" * 90, ".".join(["sub"] * 12)
+    text = f"Write to {local}@{host}.example.com now. Item {'9' * 60} is here."
+    assert found(tagger, text) == {("email", f"{local}@{host}.example.com")}
+
+
+def test_more_known_names_than_the_bound_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_NAMES", 3)
+    known = spark.createDataFrame([("given", g) for g in GIVEN[:4]], "name_part string, name_text string")
+    with pytest.raises(ValueError, match="known names"):
+        pii.fit(known, sentences=10)
 
 
 @pytest.mark.parametrize(
