@@ -2,9 +2,12 @@
 
 Each response gets one defect at most, the first that holds of: it says nothing; it repeats its prompt; it declines; it isn't in
 the prompt's language; it stops early. Copy, language and termination are checks of the pair itself. Refusals come from clusters:
-the sentences, here called openings, without names and numbers, are sets of five-word shingles, linked where they are near (Jaccard 0.8 or more) by
-an exact set join (setsim), and closed into connected components. A cluster refuses if it recurs across prompts and half or more of its records
-decline, or if all of its openings do; a record refuses if one of its openings is in a refusing cluster.
+the sentences of all responses, here called openings, without names and numbers, are sets of five-word shingles; MinHash buckets
+propose pairs, which are verified (Jaccard 0.8 or more) and closed into connected components. A cluster is a refusal template if its
+wording and its recurrence together speak for it: wording by a small model of declining sentences (refusals), averaged over the cluster's
+records; recurrence by how much better its prompts fit a draw from all prompts than a choice of its own, so that what is said to
+unrelated prompts alike counts for, and what goes with some kinds of prompt counts against. A record refuses if an opening of it is in a
+refusing cluster.
 
 Defined results: a null response says nothing; a null prompt can neither be copied nor set a language; null ids are ignored; of
 repeats of an id the smallest texts count; texts are read whole.
@@ -13,21 +16,31 @@ repeats of an id the smallest texts count; texts are read whole.
 from __future__ import annotations
 
 import json
+import math
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.groupsplit import connected
-from tallyforge.operators.setsim import classes, near_classes
+from tallyforge.llm.languages import Languages
+from tallyforge.llm.refusals import Wording
 from tallyforge.session import Scratch
 
 COPY_SHARE = 0.72
 SHINGLE, NEAR = 5, (4, 5)
 #: Sets of fewer shingles are near no other set.
 LEAST = 4
+#: Bands of minima: a pair at the threshold misses all of them with a chance of 3 in a million.
+BANDS, ROWS = 24, 4
+KIND_WORDS = 3
+#: How much a cluster's own choice of prompts may differ from all prompts, and the bounds of what recurrence may say.
+SPREAD, AGAINST, FOR = 2.0, -8.0, 3.0
+#: A cluster refuses from these log odds on; those of worse wording than this can't reach them.
+REFUSES = 0.5
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 FENCE = re.compile(r"```[\w-]*")
@@ -45,79 +58,6 @@ CLOSINGS = frozenset("best regards kind thanks cheers sincerely yours grüße vi
 LEADING = re.compile(r"(?i)^[\s\]})>,.:;|*#\-]*(?:(?:sure|certainly|of course|okay|question|prompt|task|input|instruction|answer|response)\s*[!:.,]+\s*)*")
 TRAILING = re.compile(r"(?i)\s*(?:answer|response|output|reply)\s*:?\s*$")
 
-# fixed values: frequent words by language
-COMMON = {
-    "en": "the of and to a in is that it for was on are as with his they be at this have from or had by but not what all were we when your can said there each which do how their if will up about out many then them so some her would make like him into has no could people my than been who its now find down day did get come made may part over i you",
-    "de": "der die das und ist nicht ein eine zu den von mit sich des auf für im dem sie es ich auch als an er hat aus bei dass wir ihr ihre wird sind oder bis nach wie noch vor zum zur um am aber nur wenn haben können könnten uns bitte leider keine kein über falls ab",
-    "fr": "le la les de des du un une et est que qui dans pour pas ne sur au aux avec ce cette il elle nous vous votre je se par plus mais ou son sa ses comme être dès rien avant était déjà été sont en à d l n s avons",
-    "es": "el la los las de del un una y es que en para no se por con su sus lo al como más pero o este esta ha hay si ya muy usted nos me todavía hasta desde está son una podemos vimos tener",
-    "it": "il lo gli di un una e è che in per non si con su da al del della dei delle sono ha ma anche più però questo questa quindi ancora appena abbiamo possiamo reale dal nel",
-    "pt": "o os as de do da dos das um uma e é que em para não se por com na no ao mas mais está são uma foi já também ainda quando sem vimos podemos pessoas equipa falta referência",
-    "nl": "de het een en is van dat in op te zijn met voor niet aan er om maar ook als bij uit nog wij uw dan geen kunnen zagen heeft ontbreekt zodra meer mensen vrij",
-    "sv": "och att det som en ett är på för med av den till inte om men har vi kan när ingen än vad fler finns saknas söker fortfarande teamet svaret såg i",
-    "pl": "i w na nie się że z do jest to jak ale o po co dla od przez za gdy będzie oraz możemy zbyt wiele osób nadal szuka widzimy źródła brakuje końcu zespół",
-    "da": "og at det som en et er på for med af den til ikke om men har vi kan når ingen end hvad flere der mangler",
-    "fi": "ja on ei se että oli hän mutta kun niin myös ovat tai kuin voimme vielä",
-    "tr": "ve bir bu da de için ile olarak daha çok ama gibi kadar var yok",
-    "cs": "a je se na že v to s z do pro jako ale by po jsou není tak",
-    "ro": "și în de la cu nu este pe o că un pentru sau mai din dar sunt",
-}
-LANGUAGES_OF: dict[str, list[str]] = {}
-for _lang, _words in COMMON.items():
-    for _w in dict.fromkeys(_words.split()):
-        LANGUAGES_OF.setdefault(_w, []).append(_lang)
-SCRIPTS = {"ru": "а-яёіїє", "ja": "぀-ヿ", "zh": "一-鿿", "ko": "가-힯", "ar": "؀-ۿ", "he": "֐-׿", "el": "Ͱ-Ͽ", "th": "฀-๿", "hi": "ऀ-ॿ"}
-SCRIPT = {k: re.compile(f"[{v}]", re.I) for k, v in SCRIPTS.items()}
-
-TASK = r"(?:task|request|prompt|assessment|rating|verdict|review|e-?mail|reply|draft|message|text|note|answer|evaluation|judg\w+|one|this|that|it|question|outreach|response|letter|topic)"
-SELF = r"(?:i|we|the assistant|this assistant|the model)"
-CANNOT = r"(?:can(?:no|')t|can not|cannot|couldn't|could not|won't|will not|am not (?:able|allowed|permitted|going|willing)|'m not (?:able|allowed|permitted|going|willing)|am unable|'m unable|are unable|may not|must not|should not|shouldn't|do not wish|don't wish|would rather not|'d rather not|prefer not)"
-DO = r"(?:help|assist|provide|write|draft|produce|complete|fulfil+|answer|respond|evaluat\w+|judge|rate|review|do|take (?:this|that|it|on)|take on|go ahead|proceed|comply|continue|comment|engage|offer an?|give an?|create|generate|support (?:this|that)|discuss|prepare|compose|carry out|handle|assess|be able to|perform)"
-DE_DO = r"(?:helfen|weiterhelfen|beantworten|verfassen|schreiben|erstellen|bewerten|beurteilen|nachkommen|erfüllen|bearbeiten|behilflich)"
-FR_DO = r"(?:aider|répondre|rédiger|écrire|évaluer|juger|donner suite|traiter|satisfaire|accéder à)"
-ES_DO = r"(?:ayudar|responder|redactar|escribir|evaluar|juzgar|valorar|atender|cumplir|completar)(?:le|les|te|lo|la|los|las)?"
-DECLINES = [
-    re.compile(p)
-    for p in (
-        rf"\b{SELF}(?:'m| am|'d| would)? ?(?:\w+ )?{CANNOT}(?: (?:to|be|able|\w+ly)){{0,3}} {DO}\b(?!.{{0,12}}\bpromise)",
-        rf"\b{SELF} (?:must|need to|have to|am going to|'m going to|will have to|am obliged to|'ll) (?:\w+ )?(?:decline|refuse|turn (?:down|{TASK} down)|pass on|say no|abstain|withhold)\b",
-        rf"\b{SELF} (?:decline|refuse|abstain)\b",
-        rf"\bno (?:\w+ )?{TASK} will (?:come|be (?:given|written|provided|produced))\b",
-        rf"\b{TASK} is (?:not (?:one|something|a thing) {SELF} (?:can|may|could|will)|something {SELF} (?:have to (?:turn down|decline|refuse)|must (?:turn down|decline|refuse)|am unable|cannot|can't|won't|will not))",
-        rf"\bbeyond what {SELF} (?:may|can|am)\b",
-        rf"\boutside (?:of )?what {SELF} (?:am|can|may|are)\b",
-        r"\bmy (?:guidelines|instructions|rules|policy|policies|principles|usage rules) (?:do not|don't|forbid|prevent|prohibit|won't|will not)\b",
-        rf"\b{TASK} (?:can(?:no|')t|cannot|could not|will not|won't|may not) be (?:fulfilled|completed|answered|met|done|processed|granted)\b",
-        rf"\b{SELF} (?:am|'m) not in a position to\b",
-        rf"\b{SELF} (?:prefer|choose|would prefer) to leave (?:the|this|that|your) (?:\w+ )?{TASK} (?:unwritten|undone|open|unanswered|out|aside)",
-        rf"\bplease (?:do not|don't) ask me (?:for|to)\b",
-        rf"\bmy answer to (?:this|that|the|your) {TASK} (?:has to be|must be|is) no\b",
-        r"\b(?:i do not|i don't|i'm not|i am not) feel(?:ing)? comfortable\b|\b(?:i'm|i am) not comfortable\b",
-        r"\bi can neither\b.{0,60}\bnor\b",
-        r"\bas an? (?:ai|language|large language|automated)\b.{0,40}\b(?:not|unable|can't|cannot)\b",
-        r"\bit (?:would|wouldn't|is|isn't) (?:not )?(?:be )?(?:in)?appropriate for me\b",
-        r"\bi have to pass on\b|\bagainst my (?:usage )?(?:rules|policy|policies|guidelines|instructions)\b|\bbreak my instructions\b",
-        rf"\b(?:i'm|i am) sorry,? (?:but )?i (?:can't|cannot|won't|am unable|'m unable)\b",
-        rf"\b{SELF} (?:am|'m) not (?:allowed|permitted|able) to\b",
-        r"\boff[- ]limits (?:for|to) (?:me|us)\b",
-        rf"^(?:sorry|apologies|unfortunately|regrettably)?[,;:. ]*(?:but )?(?:unable|not able|not allowed|not permitted) to {DO}\b",
-        rf"\b(?:i'll|i will|i) (?:have to|must|need to|am going to) (?:pass|stop here|skip (?:this|that|it))\b",
-        r"\b(?:not something|nothing) (?:i|we) (?:can|could|may|am able to|am willing to|will) (?:help|assist|do|write|answer|provide)\b",
-        rf"\b(?:cannot|can't|won't|will not) comply\b|\bcount me out\b|\bdecline to (?:{DO[3:-1]})\b.{{0,3}}$",
-        # the other languages of the tables' prompts: German, French, Spanish
-        rf"\b(?:(?:ich|wir) (?:kann|können|darf|dürfen|werde|werden|möchte|möchten)|(?:kann|können|darf|dürfen|werde|werden|möchte|möchten) (?:ich|wir))\b[^,;]{{0,60}}\b(?:nicht|keine?n?)\b[^,;]{{0,60}}\b{DE_DO}\b",
-        r"\b(?:(?:ich|wir) (?:muss|müssen)|(?:muss|müssen) (?:ich|wir))\b[^;]{0,60}\b(?:ablehnen|verweigern)\b|\b(?:(?:ich|wir) (?:lehne|lehnen)|(?:lehne|lehnen) (?:ich|wir))\b[^,;]{0,60}\bab\b",
-        r"\b(?:ich bin|bin ich|wir sind|sind wir) (?:\w+ )?nicht (?:in der lage|befugt|berechtigt)\b|\bals (?:ki|sprachmodell|ki-\w+|künstliche intelligenz)\b.{0,60}\b(?:nicht|keine?n?)\b",
-        rf"\b(?:je|nous) (?:ne |n')(?:(?:vous|te|y|le|la) )?(?:peux|puis|pouvons|vais|allons|veux|voulons|souhaite|souhaitons|saurais)(?: malheureusement)? pas\b[^,;]{{0,40}}\b{FR_DO}\b",
-        r"\b(?:je ne suis|nous ne sommes) (?:malheureusement )?pas (?:en mesure|autorisée?s?) \b|\bil m'est impossible d|\b(?:je (?:dois|me vois contrainte? de)|nous devons) (?:\w+ )?(?:refuser|décliner)\b|\bje (?:refuse|décline)\b",
-        r"\ben tant qu(?:e |')(?:ia|assistant|modèle|intelligence artificielle)\b.{0,60}\b(?:pas|impossible)\b",
-        rf"\bno (?:(?:le|les|te|lo|la) )?(?:puedo|podemos|podré|voy a|vamos a|quiero|debo)\b[^,;]{{0,40}}\b{ES_DO}\b",
-        r"\b(?:debo|tengo que|debemos|tenemos que) (?:\w+ )?(?:rechazar|negarme|negarnos|declinar)\b|\bme niego a\b|\bno (?:estoy|estamos) autorizad[oa]s? (?:a|para)\b|\bno me es posible\b",
-        r"\bcomo (?:ia|modelo de lenguaje|asistente|inteligencia artificial)\b.{0,60}\bno (?:puedo|debo)\b",
-    )
-]
-
-
 def unwrapped(response: str) -> tuple[str, bool | None]:
     """(the text inside of fences and JSON, whether the JSON is whole; None: no JSON)."""
     s = FENCE.sub(" ", response).strip()
@@ -171,37 +111,31 @@ def copy_share(prompt: str, text: str) -> float:
     n = len(said) - 3
     if n < 16:
         return 0.0
+    known = set(asked.split(" "))
+    mine = said.split(" ")
+    if sum(w in known for w in mine) < 0.2 * len(mine):  # so few common words can't make up the share
+        return 0.0
     own = {asked[i : i + 4] for i in range(len(asked) - 3)}
     return sum(said[i : i + 4] in own for i in range(n)) / n
 
 
-def language_hits(text: str) -> dict[str, float]:
-    out = {k: float(len(rx.findall(text))) / 3 for k, rx in SCRIPT.items() if rx.search(text)}
-    if "ja" in out and "zh" in out:
-        out["ja"] += out.pop("zh")
-    out |= dict.fromkeys(COMMON, 0.0)
-    for w in words(text):
-        for k in LANGUAGES_OF.get(w, ()):
-            out[k] += 1
-    return out
-
+#: A response is in another language than its prompt from this much more likelihood on, in all and by word.
+OTHER, OTHER_A_WORD = 20.0, 1.0
 
-def prompt_language(prompt: str) -> str | None:
-    hits = language_hits(prompt)
-    top = max(hits, key=lambda k: hits[k])
-    return top if hits[top] >= 2 else None
 
-
-def in_other_language(lang: str | None, text: str) -> bool:
-    if not lang:
+def in_other_language(told: Languages, prompt: str, text: str) -> bool:
+    """Whether a text's likeliest language isn't its prompt's; what it quotes isn't its own."""
+    own, _ = told.told(prompt)
+    if own is None:
         return False
     bare = OPEN_QUOTE.sub(" ", QUOTED.sub(" ", text))
     if len(words(bare)) < 3:
         bare = text
-    hits = language_hits(bare)
-    top = max(hits, key=lambda k: hits[k])
-    n = max(1, len(words(bare)))
-    return top != lang and hits[top] >= 2 and hits[top] >= 1.5 * hits.get(lang, 0) + 1 and hits[top] / n >= 0.12
+    top, score = told.told(bare)
+    if top is None or top == own:
+        return False
+    more = score[top] - score.get(own, 0.0)
+    return more >= OTHER and more >= OTHER_A_WORD * len(words(bare))
 
 
 def is_truncated(response: str, json_whole: bool | None) -> bool:
@@ -248,30 +182,34 @@ def is_truncated(response: str, json_whole: bool | None) -> bool:
     return True
 
 
-def openings(text: str) -> list[tuple[str, bool]]:
-    """Each sentence once: its words without names and numbers, and whether it declines."""
-    out: dict[str, bool] = {}
+def openings(text: str) -> list[str]:
+    """Each sentence once: its words without names and numbers."""
+    out: dict[str, None] = {}
     for m in SENTENCE.finditer(QUOTED.sub(" ", text)):
-        s = m.group().strip()
-        tokens = WORD.findall(s.replace("’", "'"))
+        tokens = WORD.findall(m.group().replace("’", "'"))
         if len(tokens) < 2:
             continue
-        low = " ".join(s.lower().replace("’", "'").split())
         kept = [t.lower() for i, t in enumerate(tokens) if (i == 0 or not t[0].isupper() or t in ("I", "I'm", "I'd", "I'll")) and not t[0].isdigit()]
         if len(kept) >= 2:
-            key = " ".join(kept)
-            out[key] = out.get(key, False) or any(rx.search(low) for rx in DECLINES)
-    return list(out.items())
+            out[" ".join(kept)] = None
+    return list(out)
+
 
+def prompt_kind(prompt: str) -> int:
+    """What a prompt asks for, told by its first KIND_WORDS words without names and numbers."""
+    first = next(iter(openings(prompt)), "").split(" ")
+    return xxhash.xxh64_intdigest(" ".join(first[:KIND_WORDS])) >> 1
 
-FEATURES = "record_kind string, record_id long, defect string, foreign boolean, cut boolean, prompt_key long, openings array<struct<opening: string, declines: boolean>>"
+
+FEATURES = "record_kind string, record_id long, defect string, foreign boolean, cut boolean, kind long, openings array<string>"
 
 
 def _features(batches):
+    told = Languages()
     for b in batches:
         cols: list[list] = [[], [], [], [], []]
         for prompt, response in zip(b.column("prompt").to_pylist(), b.column("response").to_pylist(), strict=True):
-            defect, foreign, cut, first = None, False, False, []
+            defect, foreign, cut, said = None, False, False, []
             prompt = prompt or ""
             text, whole = unwrapped(response or "")
             if is_empty(text):
@@ -279,51 +217,113 @@ def _features(batches):
             elif prompt and copy_share(prompt, text) >= COPY_SHARE:
                 defect = "copied_prompt"
             else:
-                first = openings(text)
-                foreign = in_other_language(prompt_language(prompt), text)
+                said = openings(text)
+                foreign = in_other_language(told, prompt, text)
                 cut = is_truncated(response, whole)
-            key = xxhash.xxh64_intdigest(" ".join(words(re.sub(r"\b[A-Z]\w+|\d+", "", prompt)))) >> 1
-            for c, v in zip(cols, (defect, foreign, cut, key, [{"opening": o, "declines": d} for o, d in first]), strict=True):
+            for c, v in zip(cols, (defect, foreign, cut, prompt_kind(prompt), said), strict=True):
                 c.append(v)
-        kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.struct([("opening", pa.string()), ("declines", pa.bool_())])))
-        yield pa.RecordBatch.from_arrays([b.column("record_kind"), b.column("record_id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["record_kind", "record_id", "defect", "foreign", "cut", "prompt_key", "openings"])
+        kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([b.column("record_kind"), b.column("record_id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["record_kind", "record_id", "defect", "foreign", "cut", "kind", "openings"])
 
 
-def _shingles(opening: str) -> set[str]:
+def shingles(opening: str) -> set[int]:
+    """Hashes of the runs of SHINGLE words; a shorter opening is one run."""
     w = opening.split(" ")
-    return {"_".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
+    return {xxhash.xxh64_intdigest(" ".join(w[i : i + SHINGLE])) >> 1 for i in range(max(1, len(w) - SHINGLE + 1))}
+
+
+def _signed(wording):
+    rng = np.random.default_rng(17)
+    a = rng.integers(1, 1 << 61, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+    c = rng.integers(0, 1 << 61, BANDS * ROWS, dtype=np.uint64)
+
+    def run(batches):
+        sounds = wording.value
+        for b in batches:
+            sets, keys, odds, ids = [], [], [], []
+            for o in b.column("opening").to_pylist():
+                s = shingles(o)
+                sets.append(sorted(s))
+                ids.append(xxhash.xxh64_intdigest(repr(sets[-1])) >> 1)
+                odds.append(sounds(o))
+                if len(s) < LEAST:
+                    keys.append([])
+                    continue
+                v = np.fromiter(s, np.uint64, len(s))
+                mixed = v[None, :] * a[:, None] + c[:, None]
+                low = (mixed ^ (mixed >> np.uint64(31))).min(axis=1).reshape(BANDS, ROWS)
+                keys.append([xxhash.xxh64_intdigest(low[i].tobytes(), seed=i) >> 1 for i in range(BANDS)])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("opening"), pa.array(ids, pa.int64()), pa.array(sets, longs), pa.array(keys, longs), pa.array(odds, pa.float64())], ["opening", "node", "shingles", "keys", "wording"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of the proposed pairs whose sets of shingles are near."""
+    p, q = NEAR
+    x = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
+    y = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
+    shared = F.size(F.array_intersect("su", "sv"))
+    return pairs.join(x, "u").join(y, "v").where(q * shared >= p * (F.size("su") + F.size("sv") - shared)).select("u", "v")
+
+
+def near_links(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v): verified links that connect what MinHash buckets hold together. sets: (node, shingles, keys), one row a node.
+
+    In a bucket each node is compared with its smallest. Only nodes that aren't near that one are compared with the bucket's others:
+    two nodes near the smallest are connected already, so a bucket of copies with small edits takes one pass and no link is lost.
+    """
+    entries = scratch.keep(sets.select("node", F.explode("keys").alias("key")))
+    lead = entries.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
+    star = scratch.keep(entries.join(lead, "key").where("node != lead"))
+    first = scratch.keep(_verified(star.select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct(), sets))
+    apart = star.join(first, (star["node"] == first["u"]) & (star["lead"] == first["v"]), "left_anti")
+    others = star.select("key", F.col("node").alias("other"))
+    more = apart.join(others, "key").where("node != other").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    return first.unionByName(_verified(more, sets))
 
 
-def _sets(batches):
-    for b in batches:
-        lines = [" ".join(sorted(_shingles(o))) for o in b.column("opening").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("opening"), pa.array(lines, pa.string())], ["opening", "line"])
+def clusters(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(opening, cluster, wording, n) of every opening: its cluster, the log odds that it declines, and its records."""
+    each = found.select("kind", F.explode("openings").alias("opening"))
+    seen = scratch.keep(each.groupBy("opening").agg(F.count("*").alias("n")))
+    wording = found.sparkSession.sparkContext.broadcast(Wording())
+    signed = scratch.keep(seen.select("opening").mapInArrow(_signed(wording), "opening string, node long, shingles array<long>, keys array<long>, wording double"))
+    sets = scratch.keep(signed.where("size(keys) > 0").dropDuplicates(["node"]).select("node", "shingles", "keys"))
+    roots = connected(near_links(sets, scratch), scratch)
+    return signed.join(roots, "node", "left").select("opening", F.coalesce("root", "node").alias("cluster"), "wording").join(seen, "opening")
 
 
-def clusters(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(opening, cluster, n, declines, low, high) of every opening: its records, whether it declines, and the prompts it answers.
+def log_gamma(x: Column) -> Column:
+    """Stirling's series, shifted by eight."""
+    y = x + 8
+    rising = sum((F.log(x + i) for i in range(1, 8)), F.log(x))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) - rising
+
+
+def recurrence(said: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(cluster, recurs): log odds that a cluster's prompts are a draw from all of them against a choice of its own.
 
-    Openings whose sets of shingles have a Jaccard similarity of NEAR or more are linked, by an exact join; a cluster is a connected
-    component of the links, so chains are closed.
+    said: (cluster, kind), a row a record; kinds: (kind, share) of all records. The choice is a Dirichlet mixture about the shares.
     """
-    each = found.select("prompt_key", F.explode("openings").alias("o")).select("prompt_key", "o.opening", "o.declines")
-    seen = each.groupBy("opening").agg(F.bool_or("declines").alias("declines"), F.count("*").alias("n"), F.min("prompt_key").alias("low"), F.max("prompt_key").alias("high"))
-    seen = scratch.keep(seen)
-    sets = scratch.keep(seen.select("opening").mapInArrow(_sets, "opening string, line string"))
-    near = near_classes(scratch.keep(classes(sets, LEAST, [])), scratch, *NEAR)
-    roots = connected(near.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-    of = sets.select("opening", F.xxhash64("line").alias("node")).join(roots, "node", "left").select("opening", F.coalesce("root", "node").alias("cluster"))
-    return seen.join(of, "opening")
+    n, own = F.col("n"), F.col("share") * SPREAD
+    by = said.groupBy("cluster", "kind").agg(F.count("*").cast("double").alias("n")).join(kinds, "kind")
+    of = by.groupBy("cluster").agg(F.sum(n * F.log("share") - log_gamma(n + own) + log_gamma(own)).alias("draw"), F.sum("n").alias("n"))
+    return of.select("cluster", (F.col("draw") + log_gamma(F.col("n") + SPREAD) - math.lgamma(SPREAD)).alias("recurs"))
 
 
 def refusal_openings(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """(opening) of refusing clusters: those that recur across prompts and of whose records half or more decline, and those whose
-    openings all decline, be they of one record."""
+    """(opening) of refusing clusters."""
     of = scratch.keep(clusters(found, scratch))
-    said = F.sum(F.when(F.col("declines"), F.col("n")).otherwise(0))
-    votes = of.groupBy("cluster").agg(F.sum("n").alias("n"), said.alias("said"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_and("declines").alias("all"))
-    refusing = votes.where((F.col("all")) | ((F.col("low") != F.col("high")) & (2 * F.col("said") >= F.col("n"))))
-    return of.join(refusing.select("cluster"), "cluster", "left_semi").select("opening")
+    sound = of.groupBy("cluster").agg((F.sum(F.col("wording") * F.col("n")) / F.sum("n")).alias("wording")).where(F.col("wording") > REFUSES - FOR)
+    open_ = scratch.keep(of.join(sound.select("cluster"), "cluster", "left_semi").select("opening", "cluster"))
+    said = found.select("record_kind", "record_id", "kind", F.explode("openings").alias("opening")).join(open_, "opening").select("record_kind", "record_id", "kind", "cluster").distinct()
+    total = found.groupBy("kind").agg(F.count("*").alias("m"))
+    all_ = found.agg(F.count("*").alias("m")).first().m
+    odds = recurrence(said, total.select("kind", (F.col("m") / max(1, all_)).alias("share")))
+    refusing = sound.join(odds, "cluster").where(F.col("wording") + F.greatest(F.lit(AGAINST), F.least(F.lit(FOR), F.col("recurs"))) >= REFUSES)
+    return open_.join(refusing.select("cluster"), "cluster", "left_semi").select("opening")
 
 
 def defects(records: DataFrame) -> DataFrame:
@@ -332,7 +332,7 @@ def defects(records: DataFrame) -> DataFrame:
     one = records.where("record_id IS NOT NULL").groupBy("record_kind", "record_id").agg(F.min("prompt").alias("prompt"), F.min("response").alias("response"))
     found = scratch.keep(one.mapInArrow(_features, FEATURES))
     refusing = refusal_openings(found, scratch)
-    first = found.where("defect IS NULL").select("record_kind", "record_id", F.explode("openings").alias("o")).select("record_kind", "record_id", F.col("o.opening").alias("opening"))
+    first = found.where("defect IS NULL").select("record_kind", "record_id", F.explode("openings").alias("opening"))
     declined = first.join(refusing, "opening", "left_semi").select("record_kind", "record_id", F.lit(True).alias("declined")).distinct()
     named = found.join(declined, ["record_kind", "record_id"], "left")
     defect = F.coalesce("defect", F.when(F.col("declined"), "refusal").when(F.col("foreign"), "other_language").when(F.col("cut"), "truncated"))

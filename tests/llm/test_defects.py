@@ -34,11 +34,10 @@ def test_kinds(spark, kind, cases):
 
 def test_clusters_carry_refusals_to_near_openings(spark):
     template = "After careful thought about everything you sent over to me this week I will not go ahead with the {} of the draft today."
-    near = "After careful thought about everything you sent over to me this week I shall skip along past the {} of the draft today."
     rows = [(i, (f"Prompt {w} one.", template.format(w))) for i, w in enumerate(["rating", "review", "check", "rating"])]
     assert set(run(spark, rows).values()) == {"refusal"}
     long = "now " + " ".join(f"word{i}" for i in range(40))
-    rows = [(1, ("Please rate it.", f"I cannot help with this {long}.")), (2, ("Quite another thing.", f"I cannot help with this {long}.")), (3, ("Third.", f"Nobody could ever do this {long}.")), (4, ("Fourth.", near.format("x")))]
+    rows = [(1, ("Please rate it.", f"I cannot help with this {long}.")), (2, ("Quite another thing.", f"I cannot help with this {long}.")), (3, ("Third.", f"Nobody could ever do this {long}.")), (4, ("Fourth.", "After careful thought about everything you sent over to me this week the list went to the printer."))]
     got = run(spark, rows)
     assert got == {1: "refusal", 2: "refusal", 3: "refusal"}
 
@@ -53,10 +52,9 @@ def test_clusters_are_whole_components_of_all_near_openings(spark):
             w[k % 2 * -1] = f"x{rng.randrange(9)}"
             b = " ".join(w[:-1] if k % 3 == 2 else w)
             texts.add(b)
-    schema = "prompt_key long, openings array<struct<opening: string, declines: boolean>>"
-    found = spark.createDataFrame([(i, [(x, False)]) for i, x in enumerate(sorted(texts))], schema)
+    found = spark.createDataFrame([(i, [x]) for i, x in enumerate(sorted(texts))], "kind long, openings array<string>")
     of = {r.opening: r.cluster for r in d.clusters(found, Scratch(spark, "clusters")).collect()}
-    root, grams = {x: x for x in texts}, {x: d._shingles(x) for x in texts}
+    root, grams = {x: x for x in texts}, {x: d.shingles(x) for x in texts}
 
     def top(x):
         return x if root[x] == x else top(root[x])
@@ -74,7 +72,7 @@ def test_a_refusal_reaches_openings_that_are_near_it_only_by_a_chain(spark):
     first, declining, last = " ".join(["Any", *w[:46]]), " ".join(["I cannot help", *w]), " ".join(["People", *w[4:]])
     texts = [declining, declining, declining, first, last]
     near = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
-    x, y, z = (d._shingles(d.openings(s)[0][0]) for s in (first, declining, last))
+    x, y, z = (d.shingles(d.openings(s)[0]) for s in (first, declining, last))
     assert near(x, y) and near(y, z) and not near(x, z)
     assert run(spark, [(i, (f"Prompt of {'abcde'[i]} here.", s + ".")) for i, s in enumerate(texts)]) == dict.fromkeys(range(5), "refusal")
 
@@ -95,6 +93,32 @@ def test_refusals_in_the_languages_of_the_prompts(spark):
     assert run(spark, rows) == want
 
 
+UNSEEN = ["That falls outside what I was set up for.", "I will have to sit this one out, I fear.", "Nothing of the sort will be written by me.", "I'm not the one who may weigh in on such matters.", "You will get no opinion on that out of me."]
+ASKED = ["Write a mail to the new client about parking.", "Which of the two plans is cheaper, and why?", "Sum up the minutes of the last board meeting.", "Translate the notice for the visitors.", "Grade the essay on rivers with a mark and a reason.", "Tell me how long the bread has to rest."]
+ANSWERS = ["The new client may park behind the mill.", "The second plan is cheaper, as it has no fee.", "The board spoke about the roof and the fees.", "Visitors are asked to wait at the gate.", "The essay gets a good mark, since its facts hold.", "The bread has to rest for an hour."]
+
+
+def test_templates_that_no_training_sentence_holds_are_found_by_their_recurrence(spark):
+    from tallyforge.llm.refusals import PARTS, PLAIN
+
+    said = " ".join([*PLAIN, *(v for p in PARTS.values() for v in p.values())]).lower()
+    assert not any(u.lower().rstrip(".") in said for u in UNSEEN)
+    rows, want = [], {}
+    for k in range(10):
+        for ask, answer in zip(ASKED, ANSWERS, strict=True):
+            rows.append((len(rows), (f"{ask} Case {k}.", answer)))
+            want[len(rows)] = "refusal"
+            rows.append((len(rows), (f"{ask} Note {k}.", UNSEEN[(k + ASKED.index(ask)) % 5])))
+    assert run(spark, rows) == want
+
+
+def test_recurrence_counts_for_unrelated_prompts_and_against_one_kind(spark):
+    said = spark.createDataFrame([("all", k % 8) for k in range(40)] + [("some", k % 2) for k in range(40)] + [("once", 3)], "cluster string, kind long")
+    kinds = spark.createDataFrame([(k, 0.125) for k in range(8)], "kind long, share double")
+    got = {r.cluster: r.recurs for r in d.recurrence(said, kinds).collect()}
+    assert got["all"] > 3 and got["some"] < -8 and abs(got["once"]) < 1e-6
+
+
 def test_late_and_long_sentences_count_whole(spark):
     late = "Re: our talk. Hello there. We read it. The plan is clear. It was sent today. I can't help with that request."
     long = "this note says again that " + " ".join(f"word{i}" for i in range(60))
