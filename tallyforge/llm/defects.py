@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.groupsplit import connected
-from tallyforge.llm.languages import Languages
+from tallyforge.llm.languages import Languages, trained
 from tallyforge.llm.refusals import Wording
 from tallyforge.session import Scratch
 
@@ -205,7 +205,7 @@ FEATURES = "record_kind string, record_id long, defect string, foreign boolean,
 
 
 def _features(batches):
-    told = Languages()
+    told = trained()
     for b in batches:
         cols: list[list] = [[], [], [], [], []]
         for prompt, response in zip(b.column("prompt").to_pylist(), b.column("response").to_pylist(), strict=True):

@@ -7,9 +7,8 @@ another script than the Latin one are told by their letters.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 
@@ -71,12 +70,12 @@ class Languages:
 
     def __init__(self, lines: dict[str, str] = LINES, smooth: float = 0.05):
         self.codes = sorted(lines)
-        counts = [Counter(g for w in WORD.findall(lines[k].lower()) for g in _groups(w)) for k in self.codes]
-        kinds = len(set().union(*counts))
-        self.table: dict[str, np.ndarray] = {}
-        self.floor = np.array([math.log(smooth / (sum(c.values()) + smooth * kinds)) for c in counts])
-        for g in set().union(*counts):
-            self.table[g] = np.array([math.log((c[g] + smooth) / (sum(c.values()) + smooth * kinds)) for c in counts]) - self.floor
+        at: dict[str, int] = {}
+        seen = [[at.setdefault(g, len(at)) for w in WORD.findall(lines[k].lower()) for g in _groups(w)] for k in self.codes]
+        counts = np.stack([np.bincount(s, minlength=len(at)) for s in seen]).T.astype(float)
+        # how much more than an unseen group each one says for a language
+        more = np.log((counts + smooth) / smooth) - np.log(counts.sum(axis=0) + smooth * len(at)) + np.log(counts.sum(axis=0) + smooth * len(at)).mean()
+        self.table: dict[str, np.ndarray] = dict(zip(at, more, strict=True))
         self.held: dict[str, np.ndarray] = {}
 
     def word(self, w: str) -> np.ndarray:
@@ -111,3 +110,9 @@ class Languages:
         total = np.add.reduce([self.word(w) for w in seen])
         at = int(total.argmax())
         return self.codes[at], dict(zip(self.codes, total.tolist(), strict=True))
+
+
+@lru_cache(1)
+def trained() -> Languages:
+    """One model a worker."""
+    return Languages()
