@@ -55,16 +55,18 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_overlap(spark, d))
 
 
-def _components(spark: SparkSession, d: str) -> DataFrame:
-    keyed = groupsplit.record_keys(
-        read(spark, d, "judge_filter_accepted"), "task_id", {"seed": F.col("metadata.seed_origin")}, {"probe": F.col("metadata.week10_probe_ids")}, ("shared_probe_library",)
-    )
-    return groupsplit.ComponentTable(spark, Scratch(spark, "component-table").at).update(keyed, read(spark, d, "split_targets"))
+def _keyed(tasks: DataFrame) -> DataFrame:
+    return groupsplit.record_keys(tasks, "task_id", {"seed": F.col("metadata.seed_origin")}, {"probe": F.col("metadata.week10_probe_ids")}, ("shared_probe_library",))
+
+
+def _components(spark: SparkSession, d: str, split: bool = True) -> DataFrame:
+    table = groupsplit.ComponentTable(spark, Scratch(spark, "component-table").at)
+    return table.update(_keyed(read(spark, d, "judge_filter_accepted")), read(spark, d, "split_targets") if split else None)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The smallest task of each tied group with each other one."""
-    return groupsplit.tied_pairs(_components(spark, d)).select(F.col("first").alias("task_id_a"), F.col("other").alias("task_id_b"))
+    return groupsplit.tied_pairs(_components(spark, d, False)).select(F.col("first").alias("task_id_a"), F.col("other").alias("task_id_b"))
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +77,27 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return groupsplit.split_report(_components(spark, d), read(spark, d, "split_targets"))
 
 
+def p4_batches(spark: SparkSession, d: str) -> DataFrame:
+    """All tasks in two deliveries, the early and the late half by time, to one kept table: what the second leaves and adds."""
+    tasks, targets = read(spark, d, "judge_filter_accepted"), read(spark, d, "split_targets")
+    half = tasks.agg(F.expr("percentile_approx(loaded_at, 0.5)")).first()[0]
+    late = F.coalesce(F.col("loaded_at") > F.lit(half), F.lit(True))
+    table = groupsplit.ComponentTable(spark, Scratch(spark, "component-table").at)
+    before = table.update(_keyed(tasks.where(~late)), targets)
+    after = table.update(_keyed(tasks.where(late)), targets)
+    both = after.join(before.select("id", F.col("split").alias("was"), F.lit(True).alias("early")), "id", "left")
+    both = both.withColumn("early", F.coalesce("early", F.lit(False)))
+    quiet = after.where("NOT quarantined").groupBy("component").agg(F.count_distinct("split").alias("n")).where("n > 1")
+    counts = both.agg(
+        F.count("*").alias("tasks"),
+        F.count_if(F.expr("early AND split IS DISTINCT FROM was")).alias("moved"),
+        F.count_if(F.expr("split IS NULL AND NOT quarantined")).alias("unassigned"),
+        F.count_if(F.expr("NOT early AND quarantined AND split IS NOT NULL")).alias("late_quarantined_with_split"),
+        F.count_distinct("component").alias("groups"),
+    )
+    return counts.crossJoin(quiet.agg(F.count("*").alias("groups_in_two_splits")))  # one row each
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select(F.lit("document").alias("record_kind"), F.col("doc_id").alias("record_id"), F.lit("text").alias("field"), "text")
     pairs = read(spark, d, "preference_pairs_audit").select(F.lit("pair").alias("record_kind"), F.col("pair_id").alias("record_id"), F.explode(F.array(F.struct(F.lit("prompt").alias("field"), F.col("prompt").alias("text")), F.struct(F.lit("chosen").alias("field"), F.col("chosen").alias("text")))).alias("f"))
@@ -140,5 +163,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_report, p4_found, p4_splits, p4_report, p5_found, p5_report, p6_found, p6_groups, p6_all_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_redacted)
+    f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_report, p4_found, p4_splits, p4_report, p4_batches, p5_found, p5_report, p6_found, p6_groups, p6_all_groups, p7_ids, p8_mix, p8_shares, p9_found, p9_redacted)
 }

@@ -61,6 +61,18 @@ WITH RECURSIVE {_TIES}
 SELECT task_id_a, task_id_b FROM (SELECT min(root) AS task_id_a, node AS task_id_b FROM reach GROUP BY node) WHERE task_id_a != task_id_b
 """
 
+#: What must hold whatever the assignment: no early task moves, each task has a split or is set aside, no group is in two splits.
+P4_BATCHES = f"""
+WITH RECURSIVE {_TIES}
+SELECT count(*) AS tasks, CAST(0 AS BIGINT) AS moved, CAST(0 AS BIGINT) AS unassigned, CAST(0 AS BIGINT) AS late_quarantined_with_split, count(DISTINCT g) AS groups, CAST(0 AS BIGINT) AS groups_in_two_splits
+FROM (SELECT min(root) AS g, node FROM reach WHERE node IS NOT NULL GROUP BY node)
+"""
+
+P6_ALL_GROUPS = f"""
+SELECT ids.task_id, coalesce(g.class_id, ids.task_id) AS class_id, coalesce(g.class_size, 1) AS class_size, coalesce(g.links, 0) AS links
+FROM (SELECT DISTINCT task_id FROM judge_filter_accepted WHERE task_id IS NOT NULL) ids LEFT JOIN ({P6_GROUPS}) g ON ids.task_id = g.task_id
+"""
+
 P5 = r"""
 WITH texts AS (
     SELECT 'document' AS record_kind, doc_id AS record_id, text AS t FROM documents
@@ -85,8 +97,10 @@ SQL: dict[str, str] = {
     "p3_found": P3,
     "p3_report": P3_REPORT,
     "p4_found": P4,
+    "p4_batches": P4_BATCHES,
     "p5_found": P5,
     "p5_report": P5_REPORT,
     "p6_found": P6,
     "p6_groups": P6_GROUPS,
+    "p6_all_groups": P6_ALL_GROUPS,
 }

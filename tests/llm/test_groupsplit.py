@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm import groupsplit as g
@@ -81,6 +82,28 @@ def test_updates_keep_splits_fill_deficits_and_quarantine(spark):
     assert again == {k: m.split for k, m in second.items()}  # known records change nothing
 
 
+def test_batches_write_what_they_bring_and_change(spark):
+    table = g.ComponentTable(spark, Scratch(spark, "ct").at)
+    table.update(keyed(spark, [(f"a{i:03d}", f"s{i}", [f"P-{i}"]) for i in range(200)]), targets(spark))
+    table.update(keyed(spark, [("b000", "s7", ["p9"]), ("b001", "s9", ["p11"])]), targets(spark))
+    table.update(keyed(spark, [("c000", "S_7", None), ("c001", None, ["P-11", "P-12"])]), targets(spark))
+    rows = lambda v, part, schema: spark.read.schema(schema).parquet(f"{table.path}/v{v}/{part}").collect()
+    assert [len(rows(v, "members", g.MEMBER)) for v in range(3)] == [200, 2, 2] and len(rows(1, "keys", g.KEY)) == 0
+    assert {(r.node, r.root) for r in rows(1, "labels", g.LABEL)} == {("a009", "a007"), ("a011", "a007")}
+    assert {(r.node, r.root) for r in rows(2, "labels", g.LABEL)} == {("a012", "a007")}
+    of = {m.id: m.component for m in table.members.collect()}
+    assert {k for k, c in of.items() if c == "a007"} == {"a007", "a009", "a011", "a012", "b000", "b001", "c000", "c001"}
+    table.update(keyed(spark, [("d000", "s3", ["p7"])]), None)
+    of = {m.id: m.component for m in g.ComponentTable(spark, table.path).members.collect()}
+    assert {k for k, c in of.items() if c == "a003"} == {"a003", "a007", "a009", "a011", "a012", "b000", "b001", "c000", "c001", "d000"}
+
+
+def test_more_targets_than_the_bound_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(g, "MAX_TARGETS", 2)
+    with pytest.raises(ValueError, match="split targets"):
+        g.ComponentTable(spark, Scratch(spark, "ct").at).update(keyed(spark, [("x", None, None)]), targets(spark))
+
+
 def test_empty(spark):
     assert g.ComponentTable(spark, Scratch(spark, "ct").at).update(keyed(spark, [(None, None, None)]), targets(spark)).count() == 0
     lone = g.ComponentTable(spark, Scratch(spark, "ct").at).update(keyed(spark, [("x", None, None)]), spark.createDataFrame([], "split_name string, target_pct int")).collect()
