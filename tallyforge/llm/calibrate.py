@@ -18,7 +18,7 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,12 +121,19 @@ def tilt(counts: np.ndarray, moments: np.ndarray, goals: np.ndarray, steps: int
         full |= over
 
 
-REPORT = "plan_id int, field_path string, category_name string, target_pct double, min_rows int, needed long, available long, expected double, gap long"
-CELL = "plan_id int, cell array<string>, pi double"
+REPORT = "plan_id int, field_path string, category_name string, key string, target_pct double, min_rows int, needed long, available long, expected double, short long, gap long"
+CELL = "plan_id int, cell array<string>, pi double, n long"
+#: Units that one bucket of the draw takes, on average.
+BUCKET_UNITS = 20_000
 
 
 def calibrate(population: DataFrame, targets: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records with plan and cell, cells with their probability, report with the gap of each target)."""
+    """(records with plan and cell, cells with their probability, report of each target).
+
+    needed is what the target asks for, available what there is, expected what the calibrated probabilities draw, short how much of
+    needed they miss, be it that too few records exist or that other targets of the plan stand in the way, and gap the part of it that
+    is for want of records. A shortage isn't made up by other categories: each keeps its own count, so the sample is smaller.
+    """
     spark = population.sparkSession
     plans = read_plans(targets)
     report, cells = [], []
@@ -148,8 +155,9 @@ def calibrate(population: DataFrame, targets: DataFrame, id_col: str) -> tuple[D
         expected = x.T @ (n * pi) if len(keys) else np.zeros(len(goals))
         for j, g in enumerate(goals):
             name, pct, floor, need = p.goals[g]
-            report.append((p.plan_id, g[0], name, pct, floor, need, int(available[j]), float(expected[j]), max(0, need - int(available[j]))))
-        cells += [(p.plan_id, list(k), float(q)) for k, q in zip(keys, pi, strict=True) if q > EPS]
+            short = max(0, need - int(expected[j] + 1e-4))
+            report.append((p.plan_id, g[0], name, g[1], pct, floor, need, int(available[j]), float(expected[j]), short, max(0, need - int(available[j]))))
+        cells += [(p.plan_id, list(k), float(q), int(m)) for k, q, m in zip(keys, pi, n, strict=True) if q > EPS]
     return tagged, spark.createDataFrame(cells, CELL), spark.createDataFrame(report, REPORT)
 
 
@@ -160,46 +168,85 @@ def _duels(across: bool):
     """Streams rows sorted by plan and cell; one undecided unit is carried on. across: carry it from cell to cell of a plan."""
 
     def run(batches):
-        held, shape = None, None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                key = row.plan_id if across else (row.plan_id, tuple(row.cell))
-                if held is not None and shape != key:
-                    out.append(held)
-                    held = None
-                new = list(row)
+        held = None  # (the unit's row as a table of one, its key, its probability)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            plans = b.column(0).to_pylist()
+            keys = plans if across else list(zip(plans, map(tuple, b.column(1).to_pylist()), strict=True))
+            draws, new = b.column(4).to_pylist(), b.column(5).to_pylist()
+            out, at, shape, left = [], -1, None, 0.0  # at: the place of the undecided unit in this batch, -1 none, -2 in an earlier one
+            if held is not None:
+                at, shape, left = -2, held[1], held[2]
+            before = None  # how the unit of an earlier batch ends
+            for i, key in enumerate(keys):
+                if at != -1 and shape != key:
+                    if at == -2:
+                        before = left
+                    else:
+                        new[at] = left
+                        out.append(at)
+                    at = -1
                 shape = key
-                if held is None:
-                    held = new
+                if at == -1:
+                    at, left = i, new[i]
                     continue
-                a, b, r = held[5], new[5], new[4]
-                s = a + b
+                s, r = left + new[i], draws[i]
                 if s < 1 - EPS:  # one of them is out
-                    winner, loser = (held, new) if r * s < a else (new, held)
-                    winner[5], held = s, winner
+                    if r * s < left:
+                        left = s
+                    else:
+                        at, left = i, s
                 else:  # one of them is in
-                    winner, loser = (held, new) if r * (2 - s) < 1 - b else (new, held)
-                    winner[5], loser[5] = 1.0, s - 1
-                    out.append(winner)
-                    held = loser if loser[5] > EPS else None
-            yield pd.DataFrame(out, columns=["plan_id", "cell", "id", "pi", "u", "p"])
+                    if r * (2 - s) < 1 - new[i]:
+                        winner, loser = at, i
+                    else:
+                        winner, loser = i, at
+                    if winner == -2:
+                        before = 1.0
+                    else:
+                        new[winner] = 1.0
+                        out.append(winner)
+                    at, left = (loser, s - 1) if s - 1 > EPS else (-1, 0.0)
+            if before is not None:
+                yield held[0].set_column(5, "p", pa.array([before], pa.float64()))
+            if out:
+                yield b.set_column(5, "p", pa.array(new, pa.float64())).take(pa.array(out, pa.int64()))
+            if at == -1:
+                held = None
+            elif at == -2:
+                held = (held[0], shape, left)
+            else:
+                held = (b.slice(at, 1), shape, left)
         if held is not None:
-            yield pd.DataFrame([held], columns=["plan_id", "cell", "id", "pi", "u", "p"])
+            yield held[0].set_column(5, "p", pa.array([held[2]], pa.float64()))
 
     return run
 
 
-def pivotal_sample(tagged: DataFrame, cells: DataFrame, seed: int = 11, buckets: int = 48) -> DataFrame:
+def sample_report(report: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The report with the rows that were drawn for each target, and their share of the plan's sample in percent."""
+    plans = report.groupBy("plan_id").agg(F.array_sort(F.collect_set("field_path")).alias("fields"))  # a row a plan
+    parts = drawn.groupBy("plan_id", "cell").count().join(plans, "plan_id").select("plan_id", "count", F.explode(F.arrays_zip("fields", "cell")).alias("f"))
+    got = parts.groupBy("plan_id", F.col("f.fields").alias("field_path"), F.col("f.cell").alias("key")).agg(F.sum("count").alias("drawn"))
+    total = drawn.groupBy("plan_id").agg(F.count("*").alias("rows"))
+    joined = report.join(got, ["plan_id", "field_path", "key"], "left").join(total, "plan_id", "left")
+    return joined.withColumns({"drawn": F.coalesce("drawn", F.lit(0)), "actual_pct": F.coalesce(100.0 * F.col("drawn") / F.col("rows"), F.lit(0.0))}).drop("key", "rows")
+
+
+def pivotal_sample(tagged: DataFrame, cells: DataFrame, seed: int = 11, buckets: int | None = None) -> DataFrame:
     """(plan_id, cell, id, pi) of the drawn records. The draw depends on seed, ids and buckets, not on the input's partitions."""
+    if buckets is None:
+        units = cells.where(F.col("pi") < 1 - EPS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n  # a row a cell
+        buckets = max(8, -(-units // BUCKET_UNITS))
     draw = lambda salt: (F.pmod(F.xxhash64(F.lit(f"{seed}|{salt}"), "plan_id", "id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    units = tagged.join(F.broadcast(cells), ["plan_id", "cell"]).withColumns({"id": F.col("id").cast("string"), "u": draw("u"), "p": F.col("pi")})
+    units = tagged.join(F.broadcast(cells.drop("n")), ["plan_id", "cell"]).withColumns({"id": F.col("id").cast("string"), "u": draw("u"), "p": F.col("pi")})
     sure = units.where(F.col("p") >= 1 - EPS)
     rest = units.where(F.col("p") < 1 - EPS).repartition(buckets, F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets))).sortWithinPartitions("plan_id", "cell", "u", "id")
     columns = [c.split()[0] for c in DUEL.split(", ")]
-    first = rest.select(columns).mapInPandas(_duels(False), DUEL).withColumn("u", draw("v"))
+    first = rest.select(columns).mapInArrow(_duels(False), DUEL).withColumn("u", draw("v"))
     # at most one undecided unit a bucket and cell is left, so a single task takes them all
-    last = first.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).repartition(1).sortWithinPartitions("plan_id", "cell", "u", "id").select(columns).mapInPandas(_duels(True), DUEL)
+    last = first.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).repartition(1).sortWithinPartitions("plan_id", "cell", "u", "id").select(columns).mapInArrow(_duels(True), DUEL)
     decided = last.where((F.col("p") >= 1 - EPS) | ((F.col("p") > EPS) & (draw("w") < F.col("p"))))
     keep = ["plan_id", "cell", "id", "pi"]
     return sure.select(keep).unionByName(first.where(F.col("p") >= 1 - EPS).select(keep)).unionByName(decided.select(keep))

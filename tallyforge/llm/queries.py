@@ -14,14 +14,16 @@ LINE = "input.signal_brief.signal_line"
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Targets for which too few distinct tasks exist."""
+    """Targets that the calibrated plan misses because too few distinct tasks exist."""
     _, _, report = calibrate.calibrate(read(spark, d, "judge_filter_accepted"), read(spark, d, "sampling_targets"), "task_id")
-    return report.where("gap > 0").select("plan_id", "category_name")
+    return report.where("short > 0 AND available < needed").select("plan_id", "category_name")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    _, _, report = calibrate.calibrate(read(spark, d, "judge_filter_accepted"), read(spark, d, "sampling_targets"), "task_id")
-    return report.select("plan_id", "field_path", "category_name", "needed", "available", "gap")
+    """What each target needs, what there is and what the drawn sample holds of it."""
+    tagged, cells, report = calibrate.calibrate(read(spark, d, "judge_filter_accepted"), read(spark, d, "sampling_targets"), "task_id")
+    drawn = Scratch(spark, "sample").keep(calibrate.pivotal_sample(tagged, cells))
+    return calibrate.sample_report(report, drawn).select("plan_id", "field_path", "category_name", "needed", "available", "gap", "drawn", "actual_pct")
 
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,8 @@ WITH one AS (SELECT task_id, min({_KEY.format('metadata.failure_category')}) AS
 long AS (SELECT 'metadata.failure_category' AS field_path, c1 AS c FROM one UNION ALL SELECT 'difficulty', c2 FROM one UNION ALL SELECT 'input.icp_segment', c3 FROM one),
 have AS (SELECT field_path, c, count(*) AS n FROM long GROUP BY ALL),
 want AS (SELECT DISTINCT plan_id, field_path, category_name, {_KEY.format('category_name')} AS c, greatest(min_rows, draw_rows * target_pct // 100) AS needed FROM sampling_targets)
-SELECT plan_id, w.field_path, category_name, CAST(needed AS BIGINT) AS needed, coalesce(n, 0) AS available, CAST(greatest(0, needed - coalesce(n, 0)) AS BIGINT) AS gap
+SELECT plan_id, w.field_path, category_name, CAST(needed AS BIGINT) AS needed, coalesce(n, 0) AS available, CAST(greatest(0, needed - coalesce(n, 0)) AS BIGINT) AS gap,
+    CAST(least(needed, coalesce(n, 0)) AS BIGINT) AS drawn, 100.0 * drawn / sum(drawn) OVER (PARTITION BY plan_id) AS actual_pct
 FROM want w LEFT JOIN have h ON w.field_path = h.field_path AND w.c = h.c
 """
 

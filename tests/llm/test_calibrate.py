@@ -43,6 +43,32 @@ def test_several_margins_are_met_together():
     assert np.allclose(x.T @ (n * c.tilt(n, x, goal)), goal, atol=1e-4)
 
 
+def test_plans_over_two_fields_and_joint_gaps(spark):
+    rows = [(f"t{i:04d}", ["easy", "hard"][i % 2], i % 3, "x", "y") for i in range(600)]
+    t = [(1, "difficulty", "easy", 60, 0, 60), (1, "difficulty", "hard", 40, 0, 60), (1, "seg", "0", 50, 0, 60), (1, "seg", "1", 30, 0, 60), (1, "seg", "2", 20, 0, 60)]
+    tagged, cells, report = c.calibrate(spark.createDataFrame(rows, POP), spark.createDataFrame(t, TARGET), "task_id")
+    got = {r.category_name: r for r in c.sample_report(report, c.pivotal_sample(tagged, cells)).collect()}
+    assert all(r.short == 0 and abs(r.drawn - r.needed) <= 2 for r in got.values())
+    assert abs(sum(got[k].drawn for k in ("easy", "hard")) - 60) <= 1
+    # each category has enough records, but all hard ones are of segment 0, so the fields are at odds
+    rows = [(f"t{i:04d}", "hard" if i % 4 == 0 else "easy", 0 if i % 4 == 0 else 1, "x", "y") for i in range(400)]
+    t = [(1, "difficulty", "easy", 20, 0, 100), (1, "difficulty", "hard", 80, 0, 100), (1, "seg", "0", 10, 0, 100), (1, "seg", "1", 90, 0, 100)]
+    _, _, report = c.calibrate(spark.createDataFrame(rows, POP), spark.createDataFrame(t, TARGET), "task_id")
+    assert {r.gap for r in report.collect()} == {0} and any(r.short > 0 for r in report.collect())
+
+
+def test_draw_is_the_same_for_every_size_of_batch(spark):
+    t = spark.createDataFrame([(1, "seg", "0", 25, 0, 100), (1, "seg", "1", 25, 0, 100)], TARGET)
+    tagged, cells, _ = c.calibrate(population(spark), t, "task_id")
+    draw = lambda: sorted(r.id for r in c.pivotal_sample(tagged, cells, 3, buckets=2).collect())
+    whole = draw()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert draw() == whole and len(whole) == 50
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_floors_and_caps():
     n, x = np.array([5.0, 1000]), np.eye(2)
     assert np.allclose(n * c.tilt(n, x, np.array([5.0, 95.0])), [5, 95], atol=1e-5)
