@@ -15,32 +15,92 @@ def grams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
+def _gram_hashes(tokens: Column, n: int) -> Column:
+    """The distinct n-grams of a token list as 64-bit hashes, which shuffle at a tenth of the text's size."""
+    made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(tokens, i, n)))
+    return F.when(F.size(tokens) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<bigint>"))
+
+
 def nearest_overlap(left: DataFrame, right: DataFrame, n: int = 8) -> DataFrame:
-    """left, right: (id, tokens). (id, n_grams, is_testable, max_overlap, nearest_id) of every left record.
+    """left, right: (id, tokens), ids unique on a side. (id, positions, is_testable, max_overlap, nearest_id) of every left record.
 
-    Grams that only one side has leave at the join; the count by pair is pre-aggregated by Spark's partial aggregation. Ties go to
-    the smallest id. A record with fewer than n tokens isn't testable, so its zero is no pass.
+    Equal token lists are joined once, as a text; a text knows its two smallest ids, so that a record never meets itself. Grams that
+    only one side has leave by a semi-join before anything is paired, and counts by pair are pre-aggregated. Ties go to the smallest
+    id. A record with fewer than n tokens isn't testable, so its zero is no pass. Texts that share a gram are paired whatever their
+    number: a gram that m texts of one side and k of the other hold costs m x k counts, since the greatest count needs them.
     """
-    exploded = lambda df: df.select("id", F.explode(grams(F.col("tokens"), n)).alias("g"))
-    pairs = exploded(left).withColumnRenamed("id", "a").join(exploded(right).withColumnRenamed("id", "b"), "g").where("a != b").groupBy("a", "b").count()
-    best = pairs.groupBy("a").agg(F.max("count").alias("max_overlap"), F.min_by("b", F.struct(-F.col("count"), F.col("b"))).alias("nearest_id"))
-    out = left.join(best, left["id"] == best["a"], "left")
+    scratch = Scratch(left.sparkSession, "overlap-grams")
+    text = F.xxhash64("tokens").alias("text")
+    texts = lambda df: scratch.keep(df.select("id", text, "tokens").groupBy("text").agg(F.min("id").alias("first"), F.any_value("tokens").alias("tokens"), F.count("*").alias("rows")))
+    lt, rt = texts(left), texts(right)
+    second = right.select("id", text).join(rt.where("rows > 1").select("text", "first"), "text").where("id != first").groupBy("text").agg(F.min("id").alias("second"))
+    rt = rt.join(second, "text", "left")
+    grams = lambda df: df.select("text", F.explode(_gram_hashes(F.col("tokens"), n)).alias("g"))
+    lg = scratch.keep(grams(lt))
+    rg = scratch.keep(grams(rt).join(lg.select("g").distinct(), "g", "left_semi"))
+    pairs = lg.withColumnRenamed("text", "a").join(rg.withColumnRenamed("text", "b"), "g").groupBy("a", "b").agg(F.count("*").alias("n"))
+    own = pairs.join(rt.select(F.col("text").alias("b"), "first", "second"), "b")
+    # the two best texts by count and smallest id are enough: at most one of them is a record's own only text
+    best = own.groupBy("a").agg(F.min_by(F.struct("n", "first"), F.struct(-F.col("n"), F.col("first"))).alias("any"))
+    records = left.select("id", "tokens", text)
+    met = records.join(best.withColumnRenamed("a", "text"), "text", "left")
+    clash = met.where("any.first = id").select("id", F.col("text").alias("a"))
+    other = F.when(F.col("first") == F.col("id"), F.col("second")).otherwise(F.col("first"))
+    again = clash.join(own, "a").withColumn("other", other).where("other IS NOT NULL").groupBy("id").agg(F.min_by(F.struct("n", F.col("other").alias("first")), F.struct(-F.col("n"), F.col("other"))).alias("rest"))
+    out = met.join(again, "id", "left").withColumn("m", F.when(F.col("any.first") == F.col("id"), F.col("rest")).otherwise(F.col("any")))
     size = F.greatest(F.size("tokens") - n + 1, F.lit(0))
-    return out.select("id", size.alias("positions"), (size > 0).alias("is_testable"), F.coalesce("max_overlap", F.lit(0)).alias("max_overlap"), "nearest_id")
-
-
-def jaccard_pairs(df: DataFrame, num: int, den: int) -> DataFrame:
-    """df: (id, tokens), tokens distinct and without blanks. (a, b, shared, united) of pairs with a < b and Jaccard similarity num/den
-    or more. Records with one token set are joined once, as a class."""
-    scratch = Scratch(df.sparkSession, "jaccard")
-    ids = scratch.keep(df.where("id IS NOT NULL").select("id", F.array_join(F.sort_array("tokens"), " ").alias("line")).distinct())
-    kinds = scratch.keep(setsim.classes(ids, 1, []))
-    links = setsim.near_classes(kinds, scratch, num, den).select("line_a", "line_b")
-    several = kinds.where("members > 1").select(F.col("line").alias("line_a"), F.col("line").alias("line_b"))
-    a, b = F.split("line_a", " "), F.split("line_b", " ")
-    wide = links.unionByName(several).withColumn("shared", F.size(F.array_intersect(a, b))).withColumn("united", F.size(a) + F.size(b) - F.col("shared"))
-    out = wide.join(ids.select(F.col("id").alias("i"), F.col("line").alias("line_a")), "line_a").join(ids.select(F.col("id").alias("j"), F.col("line").alias("line_b")), "line_b").where("i != j")
-    return out.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "shared", "united").distinct()
+    return out.select("id", size.alias("positions"), (size > 0).alias("is_testable"), F.coalesce("m.n", F.lit(0)).alias("max_overlap"), F.col("m.first").alias("nearest_id"))
+
+
+def any_overlap(left: DataFrame, right: DataFrame, n: int = 8) -> DataFrame:
+    """(id, is_testable, overlaps) of every left record: whether it shares an n-gram with a right record of another id.
+
+    No pair is made: a gram of the right side knows its smallest and greatest id, which tell whether it is another record's too.
+    """
+    own = right.select("id", F.explode(_gram_hashes(F.col("tokens"), n)).alias("g")).groupBy("g").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    hit = left.select("id", F.explode(_gram_hashes(F.col("tokens"), n)).alias("g")).join(own, "g").where("low != id OR high != id").select("id").distinct()
+    out = left.join(hit.withColumn("hit", F.lit(True)), "id", "left")
+    return out.select("id", (F.size("tokens") >= n).alias("is_testable"), F.coalesce("hit", F.lit(False)).alias("overlaps"))
+
+
+class TokenClasses:
+    """Records by their set of tokens: one with several records is a class, joined once, whatever its size.
+
+    df: (id, tokens), tokens distinct and without blanks; null ids and empty sets are in no class. members: (id, line), kinds: (line,
+    class_id, class_size), links: (line_a, line_b) of different sets with a Jaccard similarity of num/den or more. What is written grows
+    with the records and the links between different sets; no pair within a class is made.
+    """
+
+    def __init__(self, df: DataFrame, num: int, den: int):
+        self.scratch = Scratch(df.sparkSession, "jaccard")
+        self.members = self.scratch.keep(df.where("id IS NOT NULL AND size(tokens) > 0").select("id", F.array_join(F.sort_array("tokens"), " ").alias("line")).distinct())
+        self.kinds = self.scratch.keep(self.members.groupBy("line").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")))
+        self.links = setsim.near_classes(self.scratch.keep(setsim.classes(self.members, 1, [])), self.scratch, num, den).select("line_a", "line_b")
+
+    def both_ways(self) -> DataFrame:
+        """(line, other) of every link, from both of its ends."""
+        return self.links.select(F.col("line_a").alias("line"), F.col("line_b").alias("other")).unionByName(self.links.select(F.col("line_b").alias("line"), F.col("line_a").alias("other")))
+
+    def pairs(self) -> DataFrame:
+        """(a, b, shared, united): near pairs of class representatives, the smaller id first."""
+        end = lambda k: self.kinds.select(F.col("line").alias(f"line_{k}"), F.col("class_id").alias(k))
+        x, y = F.split("line_a", " "), F.split("line_b", " ")
+        out = self.links.join(end("a"), "line_a").join(end("b"), "line_b").withColumn("shared", F.size(F.array_intersect(x, y))).withColumn("united", F.size(x) + F.size(y) - F.col("shared"))
+        return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "united")
+
+    def rows(self) -> DataFrame:
+        """(id, class_id, class_size, links) of every record with tokens; links counts the other near classes."""
+        linked = self.both_ways().groupBy("line").agg(F.count("*").alias("links"))
+        return self.members.join(self.kinds.join(linked, "line", "left"), "line").select("id", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+
+    def survivors(self, ranks: DataFrame) -> DataFrame:
+        """(id, survivor, copies): of a record and all near ones the one of smallest rank, and how many near ones there are.
+
+        ranks: (id, rank), rank any ordered value that differs from record to record."""
+        best = self.members.join(ranks, "id").groupBy("line").agg(F.min_by(F.struct("rank", "id"), "rank").alias("top"), F.count("*").alias("n"))
+        around = self.both_ways().join(best.withColumnRenamed("line", "other"), "other").select("line", "top", "n").unionByName(best.select("line", "top", "n"))
+        of = around.groupBy("line").agg(F.min("top").alias("top"), (F.sum("n") - 1).alias("copies"))
+        return self.members.join(of, "line").select("id", F.col("top.id").alias("survivor"), "copies")
 
 
 QUERY_BLOCK = 4096

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,8 @@ def ranked(df: DataFrame, groups: list[str], value: str, ties: str) -> DataFrame
     return out.withColumns({"k": F.col("__o") + F.col("__k"), "rank": F.col("__o") + F.col("__r"), "upto": F.col("__o") + F.col("__u")}).drop("__o", "__k", "__r", "__u", "__p")
 
 
-def upper_median(values: Column) -> Column:
-    """Aggregate: the element at index n div 2 of the sorted values."""
-    a = F.sort_array(F.collect_list(values))
-    return F.try_element_at(a, (F.size(a) / 2).cast("int") + 1)
+#: Records of 16 bytes up to this number are broadcast; beyond it the same join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def bootstrap_ci(diffs: DataFrame, rounds: int, seed: int) -> DataFrame:
@@ -43,18 +43,53 @@ def bootstrap_ci(diffs: DataFrame, rounds: int, seed: int) -> DataFrame:
     spark, n = diffs.sparkSession, diffs.count()
     if not n:
         return spark.createDataFrame([], "low double, high double")
-    draws = spark.range(rounds).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"))
+    draws = spark.range(rounds * n).select(F.expr(f"id div {n}").alias("b"), F.expr(f"id % {n}").alias("i"))
     place = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "b", "i")), 1, 8), 16, 10).cast("long"), F.lit(n))
-    means = draws.select("b", place.alias("k")).join(diffs, "k").groupBy("b").agg(F.avg("diff").alias("mean"))
+    held = F.broadcast(diffs) if n <= BROADCAST_ROWS else diffs
+    means = draws.select("b", place.alias("k")).join(held, "k").groupBy("b").agg(F.avg("diff").alias("mean"))
     got = means.agg(F.sort_array(F.collect_list("mean")).alias("m"))
     at = lambda q: F.element_at("m", F.lit(int(q * rounds) + 1))
     return got.select(F.round(at(0.025), 10).alias("low"), F.round(at(0.975), 10).alias("high"))
 
 
+def log_gamma(x: Column) -> Column:
+    """Stirling's series, shifted by eight."""
+    y = x + 8
+    rising = sum((F.log(x + i) for i in range(1, 8)), F.log(x))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - rising
+
+
+def _beta_fraction(a: Column, b: Column) -> Column:
+    """The continued fraction of the incomplete beta function at one half. Its terms settle after some sqrt(a + b) steps."""
+    tiny = 1e-300
+    safe = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+    first = 1.0 / safe(1.0 - (a + b) * 0.5 / (a + 1.0))
+
+    def step(s, m):
+        even = m * (b - m) * 0.5 / ((a + 2 * m - 1.0) * (a + 2 * m))
+        d = 1.0 / safe(1.0 + even * s["d"])
+        c = safe(1.0 + even / s["c"])
+        odd = -(a + m) * (a + b + m) * 0.5 / ((a + 2 * m) * (a + 2 * m + 1.0))
+        return F.struct(d.alias("d"), c.alias("c"), (s["h"] * d * c).alias("h")), odd
+
+    def both(s, m):
+        half, odd = step(s, m)
+        # the half step is kept in a struct of its own, so that its columns are computed once
+        return F.transform(F.array(half), lambda x: F.struct((1.0 / safe(1.0 + odd * x["d"])).alias("d"), safe(1.0 + odd / x["c"]).alias("c"), (x["h"] * (1.0 / safe(1.0 + odd * x["d"])) * safe(1.0 + odd / x["c"])).alias("h")))[0]
+
+    steps = (F.sqrt(a + b) * 6 + 60).cast("int")
+    start = F.struct(first.alias("d"), F.lit(1.0).alias("c"), first.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, both, lambda s: s["h"])
+
+
 def mcnemar_p(discordant: Column, wins: Column) -> Column:
-    """One-sided exact binomial tail of wins among discordant pairs; 1 where there are none. The running product is kept as a
-    logarithm: its first term, 0.5 to the power of discordant, is no double above 1,074."""
-    start = F.struct((-discordant * F.log(F.lit(2.0))).alias("p"), F.lit(0.0).alias("s"))
-    step = lambda a, k: F.struct((a["p"] + F.when(k < discordant, F.log(discordant - k) - F.log(k + 1)).otherwise(0.0)).alias("p"), (a["s"] + F.when(k >= wins, F.exp(a["p"])).otherwise(0.0)).alias("s"))
-    tail = F.aggregate(F.sequence(F.lit(0), discordant), start, step, lambda a: F.least(a["s"], F.lit(1.0)))
-    return F.when(wins <= 0, 1.0).otherwise(tail)
+    """One-sided exact binomial tail of wins among discordant pairs; 1 where there are none.
+
+    The tail is the incomplete beta function at one half, by its continued fraction: the work grows with the root of the pairs, and
+    nothing underflows."""
+    a, b = wins.cast("double"), (discordant - wins + 1).cast("double")
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + (a + b) * math.log(0.5))
+    low = front * _beta_fraction(a, b) / a
+    high = 1.0 - front * _beta_fraction(b, a) / b
+    tail = F.when((a + 1.0) / (a + b + 2.0) > 0.5, low).otherwise(high)
+    return F.when(wins <= 0, 1.0).when(wins > discordant, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(tail, F.lit(1.0))))

@@ -10,7 +10,7 @@ from tallyforge.functions.text import words
 from tallyforge.operators import similarity
 from tallyforge.plans.registry import query
 from tallyforge.plans.texts import CANDIDATE, FAMILY, INPUT, SIGNAL_DATE
-from tallyforge.session import read
+from tallyforge.session import Scratch, read
 
 TOKENS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w != '')"
 
@@ -43,40 +43,52 @@ def eightgram_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT count(*) AS records, count_if(is_testable) AS testable, count_if(is_testable AND max_overlap > 0) AS violations, count_if(is_testable AND max_overlap = 0) AS passes FROM ({OVERLAP})")
 def contamination_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Passes are counted among testable records only."""
-    t, v = F.col("is_testable"), F.col("max_overlap") > 0
-    return _overlaps(spark, d).agg(F.count("*").alias("records"), F.count_if(t).alias("testable"), F.count_if(t & v).alias("violations"), F.count_if(t & ~v).alias("passes"))
+    """Passes are counted among testable records only; that a gram is shared is enough, so no pair is counted."""
+    t, v = F.col("is_testable"), F.col("overlaps")
+    found = similarity.any_overlap(_texts(spark, d, ["held_out"]), _texts(spark, d, ["train", "dev"]))
+    return found.agg(F.count("*").alias("records"), F.count_if(t).alias("testable"), F.count_if(t & v).alias("violations"), F.count_if(t & ~v).alias("passes"))
 
 
 _CT = f"list_distinct(regexp_extract_all(lower(min({CANDIDATE})), '[a-z0-9]+'))"
 
 
+_NEAR_SETS = "len(list_intersect(a.t, b.t)) * 5 >= 4 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))"
+_TOKEN_SETS = f"t AS (SELECT * FROM (SELECT task_id AS id, list_sort({_CT}) AS t FROM judge_filter_accepted WHERE task_id IS NOT NULL GROUP BY task_id) WHERE len(t) > 0), c AS (SELECT t, min(id) AS class_id, count(*) AS class_size FROM t GROUP BY t)"
+
+
+def _token_sets(spark, d) -> DataFrame:
+    t = read(spark, d, "judge_filter_accepted").select(F.col("task_id").alias("id"), F.lower(fields.candidate_text(F.col("candidate_output"))).alias("text"))
+    return t.groupBy("id").agg(F.min("text").alias("text")).select("id", F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0))).alias("tokens"))
+
+
 @query(
-    f"""WITH t AS (SELECT task_id AS id, {_CT} AS t FROM judge_filter_accepted GROUP BY task_id)
-    SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.t, b.t)) AS INTEGER) AS shared, CAST(len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) AS INTEGER) AS united
-    FROM t a JOIN t b ON a.id < b.id WHERE len(list_intersect(a.t, b.t)) * 5 >= 4 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AND len(a.t) > 0 AND len(b.t) > 0"""
+    f"""WITH {_TOKEN_SETS}
+    SELECT least(a.class_id, b.class_id) AS a, greatest(a.class_id, b.class_id) AS b, CAST(len(list_intersect(a.t, b.t)) AS INTEGER) AS shared, CAST(len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) AS INTEGER) AS united
+    FROM c a JOIN c b ON a.class_id < b.class_id WHERE {_NEAR_SETS}"""
 )
 def token_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Accepted tasks whose answers share four fifths of their distinct tokens."""
-    t = read(spark, d, "judge_filter_accepted").select(F.col("task_id").alias("id"), F.lower(fields.candidate_text(F.col("candidate_output"))).alias("text"))
-    t = t.groupBy("id").agg(F.min("text").alias("text")).select("id", F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0))).alias("tokens"))
-    return similarity.jaccard_pairs(t, 4, 5)
+    """Classes of accepted tasks, one for each set of answer tokens, that share four fifths of their tokens, by their smallest ids."""
+    return similarity.TokenClasses(_token_sets(spark, d), 4, 5).pairs()
+
+
+@query(
+    f"""WITH {_TOKEN_SETS}, l AS (SELECT a.class_id, count(*) AS links FROM c a JOIN c b ON a.class_id != b.class_id WHERE {_NEAR_SETS} GROUP BY a.class_id)
+    SELECT id, c.class_id, class_size, coalesce(links, 0) AS links FROM t JOIN c USING (t) LEFT JOIN l ON l.class_id = c.class_id"""
+)
+def token_jaccard_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every accepted task with answer tokens, its size and the number of near classes."""
+    return similarity.TokenClasses(_token_sets(spark, d), 4, 5).rows()
 
 
 @query(
-    f"""WITH t AS (SELECT task_id AS id, {_CT} AS t, min(length({CANDIDATE})) AS n, min(len(coalesce(rubric.deterministic_checks, []))) AS s FROM judge_filter_accepted GROUP BY task_id),
-    p AS (SELECT a.id AS a, b.id AS b, a.s AS sa, b.s AS sb, a.n AS na, b.n AS nb FROM t a JOIN t b ON a.id < b.id WHERE len(list_intersect(a.t, b.t)) * 5 >= 4 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AND len(a.t) > 0 AND len(b.t) > 0)
-    SELECT a, b, CASE WHEN sa > sb THEN a WHEN sb > sa THEN b WHEN na <= nb THEN a ELSE b END AS survivor FROM p"""
+    f"""WITH t AS (SELECT * FROM (SELECT task_id AS id, {_CT} AS t, min(length({CANDIDATE})) AS n, min(len(coalesce(rubric.deterministic_checks, []))) AS s FROM judge_filter_accepted WHERE task_id IS NOT NULL GROUP BY task_id) WHERE len(t) > 0)
+    SELECT a.id, arg_min(b.id, {{'s': -b.s, 'n': b.n, 'id': b.id}}) AS survivor, count(*) - 1 AS copies FROM t a JOIN t b ON {_NEAR_SETS} GROUP BY a.id"""
 )
 def near_duplicate_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """Of two near copies the one with the higher total, else the shorter, else the first."""
+    """Of a task and all its near copies the one with the highest total, else the shortest, else the first."""
     raw = read(spark, d, "judge_filter_accepted").select(F.col("task_id").alias("id"), fields.candidate_text(F.col("candidate_output")).alias("text"), F.size(F.coalesce("rubric.deterministic_checks", F.array())).alias("s"))
-    t = raw.groupBy("id").agg(F.min(F.lower("text")).alias("text"), F.min(F.length("text")).alias("n"), F.min("s").alias("s"))
-    p = similarity.jaccard_pairs(t.select("id", F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0))).alias("tokens")), 4, 5)
-    side = lambda k: t.select(F.col("id").alias(k), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
-    j = p.join(side("a"), "a").join(side("b"), "b")
-    pick = F.when(F.col("sa") > F.col("sb"), F.col("a")).when(F.col("sb") > F.col("sa"), F.col("b")).when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b"))
-    return j.select("a", "b", pick.alias("survivor"))
+    ranks = raw.where("id IS NOT NULL").groupBy("id").agg(F.min(F.length("text")).alias("n"), F.min("s").alias("s")).select("id", F.struct((-F.col("s")).alias("s"), "n", "id").alias("rank"))
+    return similarity.TokenClasses(_token_sets(spark, d), 4, 5).survivors(ranks)
 
 
 @query(
@@ -265,13 +277,25 @@ def asof_nearest(spark: SparkSession, d: str) -> DataFrame:
     SELECT a AS task_id, b AS peer, overlap, CAST(row_number() OVER (PARTITION BY a ORDER BY overlap DESC, same DESC, b DESC) AS INTEGER) AS place FROM o QUALIFY place <= 3"""
 )
 def overlap_peers(spark: SparkSession, d: str) -> DataFrame:
-    """The three peers that share most probe ids, ties by segment and id."""
-    k = read(spark, d, "judge_filter_accepted").select("task_id", F.explode("metadata.week10_probe_ids").alias("p"), F.col("input.icp_segment").alias("seg")).distinct().where("p IS NOT NULL")
-    a, b = k.alias("a"), k.alias("b")
-    same = F.max(F.when(F.col("a.seg") == F.col("b.seg"), 1).otherwise(0))
-    o = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.task_id") != F.col("b.task_id"))).groupBy(F.col("a.task_id").alias("task_id"), F.col("b.task_id").alias("peer")).agg(F.count("*").alias("overlap"), same.alias("same"))
-    place = F.expr("row_number() OVER (PARTITION BY task_id ORDER BY overlap DESC, same DESC, peer DESC)")
-    return o.withColumn("place", place).where("place <= 3").select("task_id", "peer", "overlap", "place")
+    """The three peers that share most probe ids, ties by segment and id.
+
+    Tasks with equal probe ids and segment are one class: its overlaps are counted once, and of a class only the four greatest ids can
+    be among anyone's three peers. A default id on very many tasks thus costs the square of the different sets that hold it, not of
+    the tasks."""
+    k = read(spark, d, "judge_filter_accepted").where("task_id IS NOT NULL").select("task_id", F.explode("metadata.week10_probe_ids").alias("p"), F.coalesce("input.icp_segment", F.lit(-(1 << 31))).alias("seg")).where("p IS NOT NULL")
+    sets = k.groupBy("task_id", "seg").agg(F.array_sort(F.collect_set("p")).alias("ps"))  # a task's own ids
+    one = sets.groupBy("task_id").agg(F.collect_list(F.struct("seg", "ps")).alias("parts")).withColumn("cls", F.xxhash64(F.array_sort("parts")))
+    of = Scratch(spark, "peers").keep(one.select("task_id", "cls", "parts"))
+    # the greatest ids of a class, ranked where they are before the shuffle, so no class is gathered
+    top = of.withColumn("nth", F.expr("row_number() OVER (PARTITION BY cls ORDER BY task_id DESC)")).where("nth <= 4").select("cls", F.col("task_id").alias("peer"))
+    held = of.groupBy("cls").agg(F.any_value("parts").alias("parts")).select("cls", F.explode("parts").alias("x")).select("cls", "x.seg", F.explode("x.ps").alias("p"))
+    a, b = held.alias("a"), held.alias("b")
+    same = F.max(F.when((F.col("a.seg") == F.col("b.seg")) & (F.col("a.seg") != -(1 << 31)), 1).otherwise(0))
+    o = a.join(b, F.col("a.p") == F.col("b.p")).groupBy(F.col("a.cls").alias("cls"), F.col("b.cls").alias("other")).agg(F.count("*").alias("overlap"), same.alias("same"))
+    place = lambda key: F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY overlap DESC, same DESC, peer DESC)")
+    best = o.join(top.withColumnRenamed("cls", "other"), "other").withColumn("place", place("cls")).where("place <= 4").drop("place", "other")
+    out = of.select("task_id", "cls").join(best, "cls").where("task_id != peer").withColumn("place", place("task_id"))
+    return out.where("place <= 3").select("task_id", "peer", "overlap", "place")
 
 
 @query(

@@ -78,8 +78,11 @@ def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """One JSON object in one file: a report row."""
-    df.limit(1).select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """One JSON object in one file: a report row. More than one row, or none, is refused."""
+    rows = df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("a report has one row")
+    df.sparkSession.createDataFrame(rows, "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_by_key(df: DataFrame, path: str, key: str) -> None:
@@ -87,9 +90,14 @@ def write_by_key(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").partitionBy(key).json(path)
 
 
-def read_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A JDBC table; the driver's jar must be on the class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def read_table(spark: SparkSession, url: str, table: str, split: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A JDBC table; the driver's jar must be on the class path. split: (numeric column, low, high, tasks), by which so many tasks
+    read their ranges side by side; what lies outside of the bounds goes to the first and the last."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if split:
+        column, low, high, tasks = split
+        reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=tasks)
+    return reader.load()
 
 
 def write_table(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:

@@ -56,7 +56,9 @@ def test_sinks(spark, tmp_path):
     io.write_lines(df, out)
     io.write_lines(df, out, append=True)
     assert io.read_lines(spark, out, "a int, b string").count() == 4
-    io.write_report(df.orderBy("a"), str(tmp_path / "rep"))
+    io.write_report(df.where("a = 1"), str(tmp_path / "rep"))
+    with pytest.raises(ValueError, match="one row"):
+        io.write_report(df, str(tmp_path / "rep"))
     assert json.loads("".join(r.value + "\n" for r in spark.read.text(str(tmp_path / "rep")).collect()))["a"] == 1
     io.write_by_key(df, str(tmp_path / "keys"), "a")
     assert (tmp_path / "keys" / "a=2").is_dir()
