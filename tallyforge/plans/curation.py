@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import fields, scoring
-from tallyforge.operators import sampling
+from tallyforge.operators import sampling, validation
 from tallyforge.plans.aggregates import CATEGORY, SUCCESS, category, successes
 from tallyforge.plans.registry import query
 from tallyforge.plans.texts import FAMILY, SIGNAL_DATE
@@ -100,20 +100,61 @@ def pair_status_machine(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "preference_pairs_audit").select("pair_id", s.alias("derived"), F.lower(F.trim("status")).alias("given"))
 
 
-# fixed values: enumerations and bounds of a task record
-RULES = [
-    ("task_type", "task_type NOT IN ('cold_outbound_email', 'warm_reply_email', 're_engagement_email')"), ("difficulty", "difficulty NOT IN ('easy', 'medium', 'hard')"),
-    ("source_mode", "source_mode NOT IN ('trace_derived', 'programmatic', 'multi_llm_synthesis', 'hand_authored')"), ("input.thread_stage", "input.thread_stage NOT IN ('cold_first_touch', 'reply_active', 'ready_to_schedule', 're_engagement')"),
-    ("input.icp_segment", "input.icp_segment NOT BETWEEN 0 AND 4"), ("input.signal_brief.signal_confidence_tier", "input.signal_brief.signal_confidence_tier NOT IN ('high', 'medium', 'low', 'none')"),
-    ("metadata", "metadata IS NULL"), ("input", "input IS NULL"), ("candidate_output", "candidate_output IS NULL"), ("input.company_name", "coalesce(trim(input.company_name), '') = ''"),
-]
-
-
-@query("SELECT task_id, unnest(list_filter([" + ", ".join(f"CASE WHEN {rule} THEN '{path}' END" for path, rule in RULES) + "], lambda x: x IS NOT NULL)) AS path FROM tasks")
+# fixed values: the schema of a task record
+STATES = ["green", "yellow", "red"]
+TASK_SCHEMA = {
+    "required": ["task_id", "task_type", "difficulty", "source_mode", "metadata", "input", "candidate_output", "ground_truth_output", "rubric"],
+    "properties": {
+        "task_type": {"enum": ["cold_outbound_email", "warm_reply_email", "re_engagement_email"]},
+        "difficulty": {"enum": ["easy", "medium", "hard"]},
+        "source_mode": {"enum": ["trace_derived", "programmatic", "multi_llm_synthesis", "hand_authored"]},
+        "input": {
+            "required": ["company_name", "icp_segment", "signal_brief", "bench_summary"],
+            "properties": {
+                "company_name": {"minLength": 1},
+                "icp_segment": {"minimum": 0, "maximum": 4},
+                "thread_stage": {"enum": ["cold_first_touch", "reply_active", "ready_to_schedule", "re_engagement"]},
+                "signal_brief": {"required": ["signal_line"], "properties": {"signal_confidence_tier": {"enum": ["high", "medium", "low", "none"]}, "ai_maturity_score": {"minimum": 0, "maximum": 3}}},
+                "prior_thread": {"items": {"required": ["role", "content"], "properties": {"role": {"enum": ["prospect", "agent"]}}}},
+                "capacity_request": {"items": {"required": ["stack", "requested_count"], "properties": {"requested_count": {"minimum": 1}, "lead_days": {"minimum": 1}, "seniority": {"enum": ["junior", "mid", "senior", "mixed"]}}}},
+            },
+        },
+        "candidate_output": {"required": ["subject", "body"]},
+        "rubric": {"required": ["deterministic_checks"], "properties": {"deterministic_checks": {"minItems": 1}}},
+    },
+}
+
+
+def _sql_problems(schema: dict, value: str, path: str) -> list[str]:
+    """SELECTs of (task_id, path, message), one for each rule; value and path are SQL over tasks t and the items of arrays."""
+    rows, dot = [], f"{path} || CASE WHEN {path} = '' THEN '' ELSE '.' END || "
+    add = lambda where, p, message: rows.append(f"SELECT t.task_id, {p} AS path, {message} AS message FROM tasks t {{join}} WHERE {where}")
+    if "enum" in schema:
+        said = ", ".join(schema["enum"])
+        add(f"{value} NOT IN ({', '.join(repr(e) for e in schema['enum'])})", path, f"{value} || ' is not one of {said}'")
+    for name, sign, word in (("minimum", "<", "less"), ("maximum", ">", "greater")):
+        if name in schema:
+            add(f"{value} {sign} {schema[name]}", path, f"CAST({value} AS VARCHAR) || ' is {word} than {schema[name]}'")
+    if "minLength" in schema:
+        add(f"length(trim({value})) < {schema['minLength']}", path, f"'is shorter than {schema['minLength']}'")
+    if "minItems" in schema:
+        add(f"len({value}) < {schema['minItems']}", path, f"'has fewer than {schema['minItems']} items'")
+    for name in schema.get("required", ()):
+        field = f"{value}.{name}"
+        add(f"CASE WHEN {value} IS NOT NULL THEN {field} IS NULL ELSE false END" if value != "t" else f"{field} IS NULL", dot + repr(name), "'is required'")
+    for name, inner in schema.get("properties", {}).items():
+        rows += _sql_problems(inner, f"{value}.{name}", dot + repr(name))
+    if "items" in schema:
+        inner = _sql_problems(schema["items"], "u.x", f"{path} || '[' || CAST(u.i AS VARCHAR) || ']'")
+        rows += [r.replace("{join}", f", LATERAL (SELECT unnest({value}) AS x, unnest(range(len({value}))) AS i) u") for r in inner]
+    return rows
+
+
+@query(" UNION ALL ".join(r.replace("{join}", "") for r in _sql_problems(TASK_SCHEMA, "t", "''")))
 def schema_violations(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each broken rule of a record; rules are expressions, so the check is one projection."""
-    broken = F.array_compact(F.array(*[F.when(F.expr(rule), path) for path, rule in RULES]))
-    return read(spark, d, "tasks").select("task_id", F.explode(broken).alias("path"))
+    """Each breach of the task schema, with its path, indices included, and a message; the check is one projection."""
+    t = read(spark, d, "tasks")
+    return t.select("task_id", F.explode(validation.problems(TASK_SCHEMA, F.struct(*t.columns))).alias("p")).select("task_id", "p.path", "p.message")
 
 
 @query(

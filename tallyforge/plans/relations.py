@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import fields
 from tallyforge.functions.text import words
-from tallyforge.operators import similarity
+from tallyforge.operators import similarity, validation
 from tallyforge.plans.registry import query
 from tallyforge.plans.texts import CANDIDATE, FAMILY, INPUT, SIGNAL_DATE
 from tallyforge.session import Scratch, read
@@ -248,6 +248,26 @@ def first_known_name(spark: SparkSession, d: str) -> DataFrame:
     return w.join(n, "w").groupBy("doc_id").agg(F.min("name_id").alias("name_id"))
 
 
+@query(
+    """WITH c AS (SELECT DISTINCT lower(input.company_name) AS company FROM tasks WHERE length(input.company_name) > 0), n AS (SELECT lower(name_text) AS name, min(name_id) AS name_id FROM known_names WHERE length(name_text) > 0 GROUP BY 1)
+    SELECT company, min(name_id) AS name_id FROM c JOIN n ON contains(company, name) OR contains(name, company) GROUP BY company"""
+)
+def company_known_names(spark: SparkSession, d: str) -> DataFrame:
+    """The first known name that stands in a company's name or holds it, wherever in a word."""
+    c = read(spark, d, "tasks").where("length(input.company_name) > 0").select(F.lower("input.company_name").alias("id")).distinct()
+    found = validation.first_contained(c.select("id", F.col("id").alias("text")), read(spark, d, "known_names").select("name_id", F.col("name_text").alias("name")))
+    return found.withColumnRenamed("id", "company")
+
+
+@query(
+    """SELECT doc_id, min(name_id) AS name_id FROM documents JOIN (SELECT lower(name_text) AS name, name_id FROM known_names WHERE length(name_text) > 0) ON contains(lower(text), name) OR (length(text) > 0 AND contains(name, lower(text))) GROUP BY doc_id"""
+)
+def first_contained_name(spark: SparkSession, d: str) -> DataFrame:
+    """The first known name that a document's text holds, or that holds the text."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return validation.first_contained(docs, read(spark, d, "known_names").select("name_id", F.col("name_text").alias("name"))).withColumnRenamed("id", "doc_id")
+
+
 @query(
     """WITH e AS (SELECT event_id, user_id, ts, value, event_type FROM events), p AS (SELECT * FROM e WHERE event_type = 'purchase'), v AS (SELECT * FROM e WHERE event_type = 'view'),
     j AS (SELECT p.event_id, p.value AS now, v.event_id AS vid, v.value AS was, abs(epoch_us(v.ts) - epoch_us(p.ts - INTERVAL 3 DAY)) AS off FROM p JOIN v ON p.user_id = v.user_id AND v.ts BETWEEN p.ts - INTERVAL 4 DAY AND p.ts - INTERVAL 2 DAY),

@@ -197,11 +197,26 @@ def keyword_threads(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "tasks").where((turns >= 2) & (text.contains("cover") | text.contains("price") | text.contains("rate"))).select("task_id", turns.alias("turns"))
 
 
-@query(f"SELECT task_id, {SIGNAL_DATE} AS signal_date FROM tasks WHERE {SIGNAL_DATE} IS NULL OR {SIGNAL_DATE} >= DATE '2026-03-01'")
+# fixed values: days for which a signal of a source counts; others count for OTHER_DAYS
+WINDOW_DAYS = {"funding": 180, "layoffs": 120, "leadership": 90, "hiring": 60}
+OTHER_DAYS = 120
+_DAYS = "CASE " + " ".join(f"WHEN contains(lower(coalesce(metadata.signal_source, '')), '{k}') THEN {n}" for k, n in WINDOW_DAYS.items()) + f" ELSE {OTHER_DAYS} END"
+
+
+@query(
+    f"""WITH now AS (SELECT CAST(max(loaded_at) AS DATE) AS today FROM tasks)
+    SELECT task_id, {SIGNAL_DATE} AS signal_date, CAST({_DAYS} AS INTEGER) AS days FROM tasks, now WHERE {SIGNAL_DATE} IS NULL OR {SIGNAL_DATE} >= today - CAST({_DAYS} AS INTEGER)"""
+)
 def recent_signals(spark: SparkSession, d: str) -> DataFrame:
-    """A recency window at a given day; undated records pass."""
-    day = fields.iso_date(F.col("metadata.signal_date"))
-    return read(spark, d, "tasks").where(day.isNull() | (day >= F.lit("2026-03-01").cast("date"))).select("task_id", day.alias("signal_date"))
+    """Signals inside of the window of their source, in days before the newest delivery; undated ones pass."""
+    t = read(spark, d, "tasks")
+    today = t.agg(F.max("loaded_at").cast("date").alias("today")).first().today
+    day, source = fields.iso_date(F.col("metadata.signal_date")), F.lower(F.coalesce("metadata.signal_source", F.lit("")))
+    days = F.when(F.lit(False), 0)
+    for kind, n in WINDOW_DAYS.items():
+        days = days.when(source.contains(kind), n)
+    days = days.otherwise(OTHER_DAYS)
+    return t.where(day.isNull() | (day >= F.date_sub(F.lit(today), days))).select("task_id", day.alias("signal_date"), days.alias("days"))
 
 
 @query(r"SELECT doc_id, lower(regexp_extract(text, '(?i)\b(CTO|VP Engineering|head of data|product owner|founder|engineering manager)\b', 1)) AS title FROM documents WHERE regexp_matches(text, '(?i)\b(CTO|VP Engineering|head of data|product owner|founder|engineering manager)\b')")

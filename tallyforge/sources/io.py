@@ -13,10 +13,11 @@ def read_lines(spark: SparkSession, path: str, schema: str | T.StructType, stric
 
 
 def read_any(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """A JSON array, one object over several lines, or JSON lines: told apart by a peek at one line of the file."""
-    first = next((r.value.strip() for r in spark.read.text(path).where("trim(value) != ''").limit(2).collect()), "")
-    whole = first.startswith("[") or (first.startswith("{") and not first.endswith("}"))
-    return spark.read.schema(schema).option("multiLine", whole).json(path)
+    """A JSON array, one object over several lines, or JSON lines, told apart by all lines: JSON lines are those whose every line that
+    isn't blank is an object by itself."""
+    line = F.trim("value")
+    other = spark.read.text(path).where((line != "") & (F.startswith(line, F.lit("[")) | F.get_json_object(line, "$").isNull()))
+    return spark.read.schema(schema).option("multiLine", not other.isEmpty()).json(path)
 
 
 def read_embedded(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
@@ -52,13 +53,13 @@ def read_folder(spark: SparkSession, glob: str, schema: str) -> DataFrame:
 
 
 def read_parts(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
-    """Parts with their label; parts that are missing give no rows."""
+    """Parts with their label and, from 1 on, their place in the order given; parts that are missing give no rows."""
     jvm = spark._jvm
-    out = spark.createDataFrame([], T._parse_datatype_string(schema)).withColumn("part", F.lit(None).cast("string"))
-    for name, path in paths.items():
+    out = spark.createDataFrame([], T._parse_datatype_string(schema)).withColumns({"part": F.lit(None).cast("string"), "part_order": F.lit(None).cast("int")})
+    for i, (name, path) in enumerate(paths.items(), 1):
         p = jvm.org.apache.hadoop.fs.Path(path)
         if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            out = out.unionByName(read_lines(spark, path, schema).withColumn("part", F.lit(name)))
+            out = out.unionByName(read_lines(spark, path, schema).withColumns({"part": F.lit(name), "part_order": F.lit(i)}))
     return out
 
 
@@ -77,6 +78,18 @@ def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
+def replace_lines(df: DataFrame, path: str) -> None:
+    """JSON lines in place of what stands at path. The new folder is written beside it and moved there when it is whole, so a failed
+    write leaves the old one; readers may find none for the moment between the two moves."""
+    spark = df.sparkSession
+    new, at = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}.new")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at, True)
+    if not fs.rename(new, at):
+        raise OSError(f"{path} wasn't replaced")
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """One JSON object in one file: a report row. More than one row, or none, is refused."""
     rows = df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).limit(2).collect()
@@ -109,6 +122,18 @@ def pending(files: DataFrame, applied: DataFrame) -> DataFrame:
     return files.select("name").distinct().join(applied.select("name"), "name", "left_anti").orderBy("name")
 
 
+def apply_pending(files: DataFrame, applied: DataFrame, run, path: str) -> list[str]:
+    """Runs what is pending in order of name and notes each under path as it is done; a failure stops there and leaves the rest
+    pending. The names of files are a list that the driver holds."""
+    done = []
+    files.sparkSession.createDataFrame([], "name string").write.mode("append").json(path)
+    for r in pending(files, applied).collect():
+        run(r.name)
+        files.sparkSession.createDataFrame([(r.name,)], "name string").coalesce(1).write.mode("append").json(path)
+        done.append(r.name)
+    return done
+
+
 def host_router(url: Column, routes: dict[str, str]) -> Column:
     """A label by the host of a URL."""
     host = F.lower(F.parse_url(url, F.lit("HOST")))

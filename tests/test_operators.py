@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import sampling, similarity, stats
+from tallyforge.operators import sampling, similarity, stats, validation
 from tallyforge.plans.aggregates import numbered
 
 
@@ -168,3 +168,23 @@ def test_families_fill_each_category(spark):
     assert len({r.family for r in got}) == 9000
     for c, n in (("c", 3000), ("d", 6000)):
         assert [sum(r.part == p for r in got if r.category == c) for p in ("train", "dev", "held_out")] == [n // 2, n * 3 // 10, n // 5]
+
+
+def test_schema_problems_have_paths_with_indices(spark):
+    schema = {
+        "required": ["a"],
+        "properties": {"a": {"enum": ["x", "y"]}, "n": {"minimum": 1, "maximum": 3}, "s": {"minLength": 2, "pattern": "^q"}, "l": {"minItems": 2, "items": {"required": ["k"], "properties": {"k": {"maximum": 5}}}}},
+    }
+    rows = [("x", 2, "qq", [(1,), (2,)]), (None, 4, "z", [(9,)]), ("w", 0, None, [(None,), (6,)]), ("y", None, "qqq", None)]
+    df = spark.createDataFrame(rows, "a string, n int, s string, l array<struct<k:int>>")
+    got = [sorted((p.path, p.message) for p in r.p) for r in df.select(validation.problems(schema, F.struct(*df.columns)).alias("p")).collect()]
+    assert got[0] == [] and got[3] == []
+    assert got[1] == [("a", "is required"), ("l", "has fewer than 2 items"), ("l[0].k", "9 is greater than 5"), ("n", "4 is greater than 3"), ("s", "is shorter than 2"), ("s", "z does not match ^q")]
+    assert got[2] == [("a", "w is not one of x, y"), ("l[0].k", "is required"), ("l[1].k", "6 is greater than 5"), ("n", "0 is less than 1")]
+
+
+def test_names_inside_texts_both_ways(spark):
+    texts = spark.createDataFrame([(1, "the Marlow Group"), (2, "ost"), (3, ""), (4, None), (5, "nothing here"), (6, "ostrava and marlow")], "id long, text string")
+    names = spark.createDataFrame([(9, "Marlow"), (4, "Ostrava"), (2, ""), (1, None), (7, "ostrava")], "name_id long, name string")
+    assert {r.id: r.name_id for r in validation.first_contained(texts, names).collect()} == {1: 9, 2: 4, 6: 4}
+    assert validation.first_contained(texts, names.limit(0)).count() == 0
