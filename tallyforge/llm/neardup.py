@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.setsim import BROADCAST_LINES, classes, lines, near_by_families
+from tallyforge.llm.families import near_by_families
+from tallyforge.operators.setsim import BROADCAST_LINES, classes, lines
 from tallyforge.session import Scratch
 
 

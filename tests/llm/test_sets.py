@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import neardup, overlap
+from tallyforge.llm import families, neardup, overlap
 from tallyforge.operators import setsim
 
 COLS = "task_id string, line string, split_name string, source string, id string, n int"
@@ -54,6 +54,7 @@ def expected(rows):
 def test_neardup_equals_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(neardup, "BROADCAST_LINES", limit)
     monkeypatch.setattr(setsim, "BROADCAST_LINES", limit)
+    monkeypatch.setattr(families, "BROADCAST_LINES", limit)
     monkeypatch.setattr(setsim, "BROADCAST_PAIRS", limit)
     rows = sample()
     found = neardup.NearDuplicates(spark.createDataFrame(rows, COLS), "task_id", F.col("line"))
@@ -71,7 +72,7 @@ def test_families_hold_subsets_only(spark):
     lines = [" ".join(base), " ".join(base[:11]), " ".join(base[1:]), " ".join([*base, "extra"]), " ".join([f"z{i}" for i in range(9)])]
     kept = setsim.classes(setsim.lines(spark.createDataFrame([(str(i), s) for i, s in enumerate(lines)], "id string, s string"), "id", F.col("s")), 8, [])
     scratch = setsim.Scratch(spark, "t")
-    rows = setsim.families(kept, spark.sparkContext.broadcast(setsim._sketch(kept)), scratch).collect()
+    rows = families.families(kept, spark.sparkContext.broadcast(setsim._sketch(kept)), scratch).collect()
     by = {r.cid: r for r in rows}
     for r in rows:
         top = set(by[r.leader].line.split())
