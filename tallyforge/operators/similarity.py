@@ -103,105 +103,145 @@ class TokenClasses:
         return self.members.join(of, "line").select("id", F.col("top.id").alias("survivor"), "copies")
 
 
+#: Queries of one file of the query side, which a task holds at a time.
 QUERY_BLOCK = 4096
+#: Right rows that meet all query blocks together; cells of one dense product, 4 bytes each.
+CHUNK_ROWS, CELLS = 65_536, 16_000_000
 
 
-def _blocks(left: DataFrame, cols: list[str]):
-    """The query side in pandas blocks of about QUERY_BLOCK rows: it is a stated set of rows, sent to all tasks block by block."""
+def _written_blocks(left: DataFrame, cols: list[str]) -> str:
+    """The query side as files of about QUERY_BLOCK rows in the shared folder, read there by each task; the driver sees none of it."""
+    spark = left.sparkSession
+    at = Scratch(spark, "queries").at
     n = max(1, -(-left.count() // QUERY_BLOCK))
-    keyed = left.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(n)))
-    for k in range(n):
-        part = keyed.where(F.col("__b") == k).select(*cols).toPandas()
-        if len(part):
-            yield part
+    left.select(*cols, F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).repartition(n, "block").write.partitionBy("block").parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _read_blocks(uri: str):
+    """The query blocks one after another, as Arrow tables."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, root = (fs.LocalFileSystem(), "/" + uri.split(":", 1)[1].lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+    for f in sorted(files.get_file_info(fs.FileSelector(root, recursive=True)), key=lambda f: f.path):
+        if f.path.endswith(".parquet"):
+            with files.open_input_file(f.path) as held:
+                yield pq.ParquetFile(held).read()
+
+
+def _chunks(batches):
+    """Arrow batches put together to some CHUNK_ROWS rows."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= CHUNK_ROWS:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def lexical_nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     """left, right: (id, tokens). (a, b, dot, norm2): the right record of greatest raw term-frequency cosine for each left record that
     shares a token with any, compared by dot squared over the right side's squared norm; ties go to the smallest id.
 
-    Each task counts the block's words in its rows, multiplies, and keeps its best by query: what is shuffled is queries x tasks.
+    The right side is read once. A task multiplies chunks of it with the query blocks, each cut so that its words times its queries
+    stay under CELLS, and keeps the best by query: what is shuffled is queries x chunks.
     """
     import numpy as np
     import pyarrow as pa
 
-    spark, out = left.sparkSession, None
-    for part in _blocks(left, ["id", "tokens"]):
-        vocab: dict[str, int] = {}
-        cells = [(vocab.setdefault(t, len(vocab)), q) for q, toks in enumerate(part["tokens"]) for t in (toks if toks is not None else ())]
-        weights = np.zeros((max(1, len(vocab)), len(part)), np.float32)
-        if cells:
-            np.add.at(weights, tuple(np.array(cells).T), 1)
-        held = spark.sparkContext.broadcast((part["id"].to_numpy(np.int64), vocab, weights))
-
-        def run(batches, held=held):
-            ids, vocab, weights = held.value
-            nq = len(ids)
-            best = [np.full(nq, -1.0), np.full(nq, -1, np.int64), np.zeros(nq, np.int64), np.zeros(nq, np.int64)]
-            for b in batches:
-                rid, toks = b.column("id").to_numpy(), b.column("tokens").to_pylist()
-                for lo in range(0, len(rid), 256):
-                    part = toks[lo : lo + 256]
-                    x, norm = np.zeros((len(part), len(weights)), np.float32), np.ones(len(part))
-                    for i, t in enumerate(part):
-                        count: dict[str, int] = {}
-                        for w in t or ():
-                            count[w] = count.get(w, 0) + 1
-                        norm[i] = sum(c * c for c in count.values()) or 1
-                        for w, c in count.items():
-                            if (k := vocab.get(w)) is not None:
-                                x[i, k] = c
-                    dot = (x @ weights).astype(np.float64)
-                    key = dot * dot / norm[:, None]
-                    own = rid[lo : lo + 256]
-                    key[(dot <= 0) | (own[:, None] == ids[None, :])] = -1.0
-                    order = np.argsort(own, kind="stable")  # of equal keys the first, so the smallest id
-                    j = order[key[order].argmax(0)]
-                    top, who = key[j, np.arange(nq)], own[j]
-                    better = (top > best[0]) | ((top == best[0]) & (top >= 0) & (who < best[1]))
-                    for old, new in zip(best, (top, who, dot[j, np.arange(nq)].astype(np.int64), norm[j].astype(np.int64)), strict=True):
-                        old[better] = new[better]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, best)], ["a", "key", "b", "dot", "norm2"])
-
-        found = right.select("id", "tokens").mapInArrow(run, "a long, key double, b long, dot long, norm2 long").where("b >= 0 AND key > 0")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "a long, b long, dot long, norm2 long")
-    return out.groupBy("a").agg(F.min_by(F.struct("b", "dot", "norm2"), F.struct(-F.col("key"), F.col("b"))).alias("m")).select("a", "m.b", "m.dot", "m.norm2")
+    at = _written_blocks(left, ["id", "tokens"])
+
+    def parts(table):
+        """Runs of queries whose words times queries stay under CELLS: (ids, words, weights)."""
+        vocab, ids, cells = {}, [], []
+
+        def made():
+            weights = np.zeros((max(1, len(vocab)), len(ids)), np.float32)
+            if cells:
+                np.add.at(weights, tuple(np.array(cells).T), 1)
+            return np.array(ids, np.int64), vocab, weights
+
+        for i, toks in zip(table.column("id").to_pylist(), table.column("tokens").to_pylist(), strict=True):
+            new = len(set(toks or ()) - vocab.keys())
+            if ids and (len(vocab) + new) * (len(ids) + 1) > CELLS:
+                yield made()
+                vocab, ids, cells = {}, [], []
+            cells += [(vocab.setdefault(t, len(vocab)), len(ids)) for t in toks or ()]
+            ids.append(i)
+        if ids:
+            yield made()
+
+    def run(batches):
+        for chunk in _chunks(batches):
+            rid, counts = chunk.column("id").to_numpy(), []
+            for t in chunk.column("tokens").to_pylist():
+                count: dict[str, int] = {}
+                for w in t or ():
+                    count[w] = count.get(w, 0) + 1
+                counts.append(count)
+            norms = np.array([sum(c * c for c in count.values()) or 1 for count in counts], float)
+            for block in _read_blocks(at):
+                for ids, vocab, weights in parts(block):
+                    nq = len(ids)
+                    best = [np.full(nq, -1.0), np.full(nq, -1, np.int64), np.zeros(nq, np.int64), np.zeros(nq, np.int64)]
+                    step = max(1, min(256, CELLS // len(weights)))
+                    for lo in range(0, len(rid), step):
+                        own, norm = rid[lo : lo + step], norms[lo : lo + step]
+                        x = np.zeros((len(own), len(weights)), np.float32)
+                        for i, count in enumerate(counts[lo : lo + step]):
+                            for w, c in count.items():
+                                if (k := vocab.get(w)) is not None:
+                                    x[i, k] = c
+                        dot = (x @ weights).astype(np.float64)
+                        key = dot * dot / norm[:, None]
+                        key[(dot <= 0) | (own[:, None] == ids[None, :])] = -1.0
+                        order = np.argsort(own, kind="stable")  # of equal keys the first, so the smallest id
+                        j = order[key[order].argmax(0)]
+                        top, who = key[j, np.arange(nq)], own[j]
+                        better = (top > best[0]) | ((top == best[0]) & (top >= 0) & (who < best[1]))
+                        for old, new in zip(best, (top, who, dot[j, np.arange(nq)].astype(np.int64), norm[j].astype(np.int64)), strict=True):
+                            old[better] = new[better]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, best)], ["a", "key", "b", "dot", "norm2"])
+
+    found = right.select("id", "tokens").mapInArrow(run, "a long, key double, b long, dot long, norm2 long").where("b >= 0 AND key > 0")
+    return found.groupBy("a").agg(F.min_by(F.struct("b", "dot", "norm2"), F.struct(-F.col("key"), F.col("b"))).alias("m")).select("a", "m.b", "m.dot", "m.norm2")
 
 
 def dense_nearest(left: DataFrame, right: DataFrame, dim: int) -> DataFrame:
-    """left, right: (id, vec). Nearest right vector by cosine, blockwise in Arrow batches.
-
-    Each task keeps its best by query, so what is shuffled is queries x tasks, not pairs.
-    """
+    """left, right: (id, vec). Nearest right vector by cosine; the right side is read once, and a task keeps its best by query and
+    chunk, so what is shuffled is queries x chunks, not pairs."""
     import numpy as np
     import pyarrow as pa
 
-    spark, out = left.sparkSession, None
-    for part in _blocks(left, ["id", "vec"]):
-        ids = part["id"].to_numpy(np.int64)
-        q = np.stack(part["vec"].to_numpy()).astype(np.float64)
-        held = spark.sparkContext.broadcast((ids, q / (np.sqrt((q * q).sum(1, keepdims=True)) + 1e-10)))
-
-        def run(batches, held=held):
-            qi, qv = held.value
-            best, who = np.full(len(qi), -2.0), np.full(len(qi), -1, np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                rid = b.column("id").to_numpy()
-                v = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-                s = qv @ (v / (np.sqrt((v * v).sum(1, keepdims=True)) + 1e-10)).T
-                s[qi[:, None] == rid[None, :]] = -2.0
-                j = s.argmax(1)
-                top = s[np.arange(len(qi)), j]
-                better = (top > best) | ((top == best) & (rid[j] < who))
-                best[better], who[better] = top[better], rid[j][better]
-            yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(who), pa.array(best)], ["a", "b", "cosine"])
-
-        found = right.select("id", "vec").mapInArrow(run, "a long, b long, cosine double").where("b >= 0")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "a long, b long, cosine double")
-    return out.groupBy("a").agg(F.min_by(F.struct("b", "cosine"), F.struct(-F.col("cosine"), F.col("b"))).alias("m")).select("a", "m.b", "m.cosine")
+    at = _written_blocks(left, ["id", "vec"])
+
+    def unit(column):
+        v = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+        return v / (np.sqrt((v * v).sum(1, keepdims=True)) + 1e-10)
+
+    def run(batches):
+        for chunk in _chunks(batches):
+            rid, rv = chunk.column("id").to_numpy(), unit(chunk.column("vec"))
+            for block in _read_blocks(at):
+                qi, qv = block.column("id").to_numpy(), unit(block.column("vec"))
+                best, who = np.full(len(qi), -2.0), np.full(len(qi), -1, np.int64)
+                step = max(1, CELLS // len(qi))
+                for lo in range(0, len(rid), step):
+                    own = rid[lo : lo + step]
+                    s = qv @ rv[lo : lo + step].T
+                    s[qi[:, None] == own[None, :]] = -2.0
+                    j = s.argmax(1)
+                    top = s[np.arange(len(qi)), j]
+                    better = (top > best) | ((top == best) & (own[j] < who))
+                    best[better], who[better] = top[better], own[j][better]
+                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(who), pa.array(best)], ["a", "b", "cosine"])
+
+    found = right.select("id", "vec").mapInArrow(run, "a long, b long, cosine double").where("b >= 0")
+    return found.groupBy("a").agg(F.min_by(F.struct("b", "cosine"), F.struct(-F.col("cosine"), F.col("b"))).alias("m")).select("a", "m.b", "m.cosine")

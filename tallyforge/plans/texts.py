@@ -126,7 +126,7 @@ def normal_keys(spark: SparkSession, d: str) -> DataFrame:
     CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS INTEGER) AS mails FROM documents"""
 )
 def redacted_contacts(spark: SparkSession, d: str) -> DataFrame:
-    """The plain two-pattern redaction; llm.pii finds personal items of any spelling."""
+    """The plain two-pattern redaction."""
     mails = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0)))
     return read(spark, d, "documents").select("doc_id", F.md5(fields.redacted(F.col("text"))).alias("text_md5"), mails.alias("mails"))
 

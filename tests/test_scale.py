@@ -37,3 +37,17 @@ def test_row_checks_do_not_shuffle(spark, name):
 
 def test_top_k_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(spark, "latest_events") and "WindowGroupLimit" in plan(spark, "longest_documents")
+
+
+@pytest.mark.parametrize("name", ["lexical_nearest", "embedding_nearest"])
+def test_the_searched_side_is_scanned_once_and_not_broadcast(spark, name):
+    text = plans.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Scan parquet") == 1 and "BroadcastExchange" not in text
+
+
+def test_no_query_side_goes_through_the_driver():
+    import inspect
+
+    from tallyforge.operators import similarity
+
+    assert "toPandas" not in inspect.getsource(similarity) and ".broadcast(" not in inspect.getsource(similarity)
