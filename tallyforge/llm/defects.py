@@ -22,12 +22,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.groupsplit import connected
 from tallyforge.llm.languages import Languages, trained
 from tallyforge.llm.refusals import Wording
+from tallyforge.operators.stats import log_gamma
 from tallyforge.session import Scratch
 
 COPY_SHARE = 0.72
@@ -295,13 +296,6 @@ def clusters(found: DataFrame, scratch: Scratch) -> DataFrame:
     return signed.join(roots, "node", "left").select("opening", F.coalesce("root", "node").alias("cluster"), "wording").join(seen, "opening")
 
 
-def log_gamma(x: Column) -> Column:
-    """Stirling's series, shifted by eight."""
-    y = x + 8
-    rising = sum((F.log(x + i) for i in range(1, 8)), F.log(x))
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) - rising
-
-
 def recurrence(said: DataFrame, kinds: DataFrame) -> DataFrame:
     """(cluster, recurs): log odds that a cluster's prompts are a draw from all of them against a choice of its own.
 

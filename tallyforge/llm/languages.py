@@ -90,8 +90,8 @@ class Languages:
         return got
 
     def told(self, text: str) -> tuple[str | None, dict[str, float]]:
-        """(most likely language or None, score by language). Each word counts once; words with a capital inside a sentence, often
-        names, are left out."""
+        """(most likely language or None, score by language). Each word counts once; words with a capital, often names, are left
+        out unless there is little else."""
         if NON_LATIN.search(text):
             hits = {k: len(rx.findall(text)) for k, rx in SCRIPT.items()}
             if hits["ja"]:
@@ -100,11 +100,10 @@ class Languages:
             top = max(hits, key=lambda k: hits[k])
             if 2 * hits[top] > len(LATIN.findall(text)) or hits[top] >= 8:
                 return top, {top: 10.0 * hits[top]}
-        seen = {}
-        for m in WORD.finditer(text):
-            w = m.group()
-            if w.islower() or not seen or text[max(0, m.start() - 2) : m.start()].strip(" \"'“„«¿¡(")[-1:] in ("", ".", "!", "?", ":", "\n"):
-                seen[w.lower()] = True
+        words = set(WORD.findall(text))
+        seen = sorted(w for w in words if w.islower())
+        if len(seen) < 3:
+            seen = sorted({w.lower() for w in words})
         if not seen:
             return None, {}
         total = np.add.reduce([self.word(w) for w in seen])
