@@ -76,7 +76,7 @@ def test_families_hold_subsets_only(spark):
     by = {r.cid: r for r in rows}
     for r in rows:
         top = set(by[r.leader].line.split())
-        assert set(r.line.split()) | set(r.removed) == top and len(r.removed) <= setsim.MISSING
+        assert set(r.line.split()) | set(r.removed) == top and len(r.removed) <= families.MISSING
     assert any(r.cid != r.leader for r in rows)  # which subsets meet their leader depends on the rarest words
 
 
