@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators import setsim
+from tallyforge.operators import gramhash, setsim
 from tallyforge.session import Scratch
 
 
@@ -21,35 +21,60 @@ def _gram_hashes(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<bigint>"))
 
 
+#: Grams whose left records times right records exceed this are common, at most so many of them (their places fit 16 bits).
+COMMON_PAIRS, MOST_COMMON = 1000, 32_000
+#: Right rows of one file that the kinds of left records are compared with.
+KIND_BLOCK = 65_536
+
+
 def nearest_overlap(left: DataFrame, right: DataFrame, n: int = 8) -> DataFrame:
     """left, right: (id, tokens), ids unique on a side. (id, positions, is_testable, max_overlap, nearest_id) of every left record.
 
-    Equal token lists are joined once, as a text; a text knows its two smallest ids, so that a record never meets itself. Grams that
-    only one side has leave by a semi-join before anything is paired, and counts by pair are pre-aggregated. Ties go to the smallest
-    id. A record with fewer than n tokens isn't testable, so its zero is no pass. Texts that share a gram are paired whatever their
-    number: a gram that m texts of one side and k of the other hold costs m x k counts, since the greatest count needs them.
+    Grams are 64-bit hashes. Those that the other side lacks are dropped in the tasks by a sieve of cells, before any shuffle. Of the
+    others, common ones (many left records times many right ones) make a record's kind: the records of a kind share the same common
+    grams, so kinds are compared, and of a right kind the two smallest ids are enough, since a left record shuns only its own. Records
+    that share a rare gram are paired. Such a pair counts its common grams too; any other pair shares common grams alone, so the
+    greatest count over both ways is the right one. Ties go to the smallest id. A record with fewer than n tokens isn't testable, so
+    its zero is no pass.
     """
     scratch = Scratch(left.sparkSession, "overlap-grams")
-    text = F.xxhash64("tokens").alias("text")
-    texts = lambda df: scratch.keep(df.select("id", text, "tokens").groupBy("text").agg(F.min("id").alias("first"), F.any_value("tokens").alias("tokens"), F.count("*").alias("rows")))
-    lt, rt = texts(left), texts(right)
-    second = right.select("id", text).join(rt.where("rows > 1").select("text", "first"), "text").where("id != first").groupBy("text").agg(F.min("id").alias("second"))
-    rt = rt.join(second, "text", "left")
-    grams = lambda df: df.select("text", F.explode(_gram_hashes(F.col("tokens"), n)).alias("g"))
-    lg = scratch.keep(grams(lt))
-    rg = scratch.keep(grams(rt).join(lg.select("g").distinct(), "g", "left_semi"))
-    pairs = lg.withColumnRenamed("text", "a").join(rg.withColumnRenamed("text", "b"), "g").groupBy("a", "b").agg(F.count("*").alias("n"))
-    own = pairs.join(rt.select(F.col("text").alias("b"), "first", "second"), "b")
-    # the two best texts by count and smallest id are enough: at most one of them is a record's own only text
-    best = own.groupBy("a").agg(F.min_by(F.struct("n", "first"), F.struct(-F.col("n"), F.col("first"))).alias("any"))
-    records = left.select("id", "tokens", text)
-    met = records.join(best.withColumnRenamed("a", "text"), "text", "left")
-    clash = met.where("any.first = id").select("id", F.col("text").alias("a"))
-    other = F.when(F.col("first") == F.col("id"), F.col("second")).otherwise(F.col("first"))
-    again = clash.join(own, "a").withColumn("other", other).where("other IS NOT NULL").groupBy("id").agg(F.min_by(F.struct("n", F.col("other").alias("first")), F.struct(-F.col("n"), F.col("other"))).alias("rest"))
-    out = met.join(again, "id", "left").withColumn("m", F.when(F.col("any.first") == F.col("id"), F.col("rest")).otherwise(F.col("any")))
-    size = F.greatest(F.size("tokens") - n + 1, F.lit(0))
-    return out.select("id", size.alias("positions"), (size > 0).alias("is_testable"), F.coalesce("m.n", F.lit(0)).alias("max_overlap"), F.col("m.first").alias("nearest_id"))
+    files = lambda df: (lambda uri: lambda: _read_blocks(uri))(_uri(left.sparkSession, df._tallyforge_path))
+    hashes = lambda df: df.select("id", F.size("tokens").alias("size"), F.transform("tokens", lambda w: F.xxhash64(w)).alias("toks"))
+
+    def sieve(df):
+        power = gramhash.power(df.agg(F.sum(F.size("grams"))).first()[0] or 0)
+        return files(scratch.keep(gramhash.sieve(df, power))), power
+
+    all_left = scratch.keep(gramhash.hashed(hashes(left), n))
+    met_right = scratch.keep(gramhash.hashed(hashes(right), n, *sieve(all_left)).where(F.size("grams") > 0))
+    met_left = scratch.keep(gramhash.sieved(all_left, *sieve(met_right)))
+    scratch.drop(all_left)
+    one = lambda df, here, there: df.select(F.explode("grams").alias("g"), F.lit(here).alias("nl"), F.lit(there).alias("nr"))
+    pairs = F.col("nl") * F.col("nr")
+    counted = one(met_left, 1, 0).unionByName(one(met_right, 0, 1)).groupBy("g").agg(F.sum("nl").alias("nl"), F.sum("nr").alias("nr")).where(pairs > COMMON_PAIRS)
+    common = scratch.keep(counted.orderBy(pairs.desc(), "g").limit(MOST_COMMON).select("g", (F.row_number().over(Window.orderBy(pairs.desc(), "g")) - 1).alias("place")))
+    kind = F.when(F.size("common") > 0, F.xxhash64("common")).alias("kind")
+    x, y = (scratch.keep(gramhash.parted(df, files(common)).select("*", kind)) for df in (met_left, met_right))
+    scratch.drop(met_left)
+    scratch.drop(met_right)
+
+    two = Window.partitionBy("kind").orderBy("id")
+    firsts = y.where("kind IS NOT NULL").select("id", "kind", "common").withColumn("k", F.row_number().over(two)).where("k <= 2")
+    at = _written_blocks(firsts, ["id", "common"], KIND_BLOCK)
+    kinds = x.where("kind IS NOT NULL").groupBy("kind").agg(F.any_value("common").alias("common"))
+    found = gramhash.two_best(kinds, lambda: _read_blocks(at), right.schema["id"].dataType.simpleString())
+    tops = found.groupBy("kind").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "b"))), 1, 2).alias("tops"))
+
+    rare = lambda df, side: df.select(F.col("id").alias(side), F.col("common").alias(f"common_{side}"), F.explode("rare").alias("g"))
+    both = F.size(F.array_intersect("common_a", "common_b"))
+    met = rare(x, "a").join(rare(y, "b"), "g").where("a != b").groupBy("a", "b").agg(F.count("*").alias("n"), F.any_value(both).alias("more"))
+    rarest = met.groupBy("a").agg(F.min(F.struct((-F.col("n") - F.col("more")).alias("less"), "b")).alias("pair"))
+
+    out = x.select("id", "size", "kind").join(tops, "kind", "left").join(rarest.withColumnRenamed("a", "id"), "id", "left")
+    other = F.get(F.filter("tops", lambda t: t["b"] != F.col("id")), 0)
+    best = F.least(other, F.col("pair"))
+    size = F.greatest(F.col("size") - n + 1, F.lit(0))
+    return out.withColumn("m", best).select("id", size.alias("positions"), (size > 0).alias("is_testable"), F.coalesce(-F.col("m.less"), F.lit(0)).alias("max_overlap"), F.col("m.b").alias("nearest_id"))
 
 
 def any_overlap(left: DataFrame, right: DataFrame, n: int = 8) -> DataFrame:
@@ -109,14 +134,18 @@ QUERY_BLOCK = 4096
 CHUNK_ROWS, CELLS = 65_536, 16_000_000
 
 
-def _written_blocks(left: DataFrame, cols: list[str]) -> str:
+def _uri(spark: SparkSession, at: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _written_blocks(left: DataFrame, cols: list[str], rows: int | None = None) -> str:
     """The query side as files of about QUERY_BLOCK rows in the shared folder, read there by each task; the driver sees none of it."""
     spark = left.sparkSession
     at = Scratch(spark, "queries").at
-    n = max(1, -(-left.count() // QUERY_BLOCK))
+    n = max(1, -(-left.count() // (rows or QUERY_BLOCK)))
     left.select(*cols, F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).repartition(n, "block").write.partitionBy("block").parquet(at)
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return _uri(spark, at)
 
 
 def _read_blocks(uri: str):

@@ -1,4 +1,5 @@
 import math
+import pathlib
 import random
 
 import pytest
@@ -40,6 +41,45 @@ def test_nearest_overlap_equals_brute_force(spark, seed):
     assert {r.id: r.overlaps for r in similarity.any_overlap(x, y, 3).collect()} == {k: n > 0 for k, (n, _) in want.items()}
 
 
+@pytest.mark.parametrize(("seed", "common", "most"), [(1, 0, 100), (2, 60, 100), (3, 0, 3), (4, 10_000, 100)])
+def test_nearest_overlap_of_common_and_rare_grams_equals_brute_force(spark, monkeypatch, seed, common, most):
+    for k, v in (("COMMON_PAIRS", common), ("MOST_COMMON", most), ("KIND_BLOCK", 7)):
+        monkeypatch.setattr(similarity, k, v)
+    rng = random.Random(seed)
+    texts = [[rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(40)]
+    left, right = ([(f"i{k:02d}", rng.choice(texts)) for k in ks] for ks in (range(50), range(20, 90)))
+    grams = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+    s = "id string, tokens array<string>"
+    got = {r.id: (r.max_overlap, r.nearest_id) for r in similarity.nearest_overlap(spark.createDataFrame(left, s), spark.createDataFrame(right, s), 3).collect()}
+    best = {i: min(((-len(grams(t) & grams(u)), j) for j, u in right if j != i and grams(t) & grams(u)), default=(0, None)) for i, t in left}
+    assert got == {i: (-n, b) for i, (n, b) in best.items()}
+
+
+def written(spark, f):
+    """Bytes that f shuffles and leaves in the shared folder."""
+    from tallyforge.session import work_dir
+
+    def now():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        at = pathlib.Path(work_dir(spark).removeprefix("file:").replace("//", "/"))
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}, sum(p.stat().st_size for p in at.rglob("*") if p.is_file())
+
+    old, n = now()
+    f()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    new, m = now()
+    return sum(v for k, v in new.items() if k not in old) + m - n
+
+
+def test_texts_of_one_template_are_not_paired(spark):
+    body = "all of these words stand in very many of the texts".split()
+    side = lambda n, k: spark.range(n).select(F.concat(F.lit(k), "id").alias("id"), F.concat(F.array(F.concat(F.lit(k), "id")), F.array(*map(F.lit, body))).alias("tokens"))
+    got = []
+    assert written(spark, lambda: got.extend(similarity.nearest_overlap(side(2000, "l"), side(2000, "r")).collect())) < 4_000_000
+    assert len(got) == 2000 and {(r.max_overlap, r.nearest_id) for r in got} == {(4, "r0")}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_token_classes_equal_brute_force(spark, seed):
     rng = random.Random(seed)
