@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators import gramhash, setsim
+from tallyforge.operators import gramhash, setkinds, setsim
 from tallyforge.session import Scratch
 
 
@@ -92,40 +92,41 @@ class TokenClasses:
     """Records by their set of tokens: one with several records is a class, joined once, whatever its size.
 
     df: (id, tokens), tokens distinct and without blanks; null ids and empty sets are in no class. members: (id, line), kinds: (line,
-    class_id, class_size), links: (line_a, line_b) of different sets with a Jaccard similarity of num/den or more. What is written grows
-    with the records and the links between different sets; no pair within a class is made.
+    cid, class_id, class_size), cid a 64-bit hash of the line. Records and survivors come from sums over kinds of classes, so they need
+    no row for each near pair; only pairs() makes links: (line_a, line_b) of different sets with a Jaccard similarity of num/den or more.
     """
 
     def __init__(self, df: DataFrame, num: int, den: int):
-        self.scratch = Scratch(df.sparkSession, "jaccard")
+        self.scratch, self.num, self.den = Scratch(df.sparkSession, "jaccard"), num, den
         self.members = self.scratch.keep(df.where("id IS NOT NULL AND size(tokens) > 0").select("id", F.array_join(F.sort_array("tokens"), " ").alias("line")).distinct())
-        self.kinds = self.scratch.keep(self.members.groupBy("line").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")))
-        self.links = setsim.near_classes(self.scratch.keep(setsim.classes(self.members, 1, [])), self.scratch, num, den).select("line_a", "line_b")
-
-    def both_ways(self) -> DataFrame:
-        """(line, other) of every link, from both of its ends."""
-        return self.links.select(F.col("line_a").alias("line"), F.col("line_b").alias("other")).unionByName(self.links.select(F.col("line_b").alias("line"), F.col("line_a").alias("other")))
+        self.kinds = self.scratch.keep(self.members.groupBy("line").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")).withColumn("cid", F.xxhash64("line")))
 
     def pairs(self) -> DataFrame:
         """(a, b, shared, united): near pairs of class representatives, the smaller id first."""
+        links = setsim.near_classes(self.scratch.keep(setsim.classes(self.members, 1, [])), self.scratch, self.num, self.den).select("line_a", "line_b")
         end = lambda k: self.kinds.select(F.col("line").alias(f"line_{k}"), F.col("class_id").alias(k))
         x, y = F.split("line_a", " "), F.split("line_b", " ")
-        out = self.links.join(end("a"), "line_a").join(end("b"), "line_b").withColumn("shared", F.size(F.array_intersect(x, y))).withColumn("united", F.size(x) + F.size(y) - F.col("shared"))
+        out = links.join(end("a"), "line_a").join(end("b"), "line_b").withColumn("shared", F.size(F.array_intersect(x, y))).withColumn("united", F.size(x) + F.size(y) - F.col("shared"))
         return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "united")
 
+    def _sums(self, values: DataFrame) -> DataFrame:
+        files = lambda df: (lambda uri: lambda: _read_blocks(uri))(_uri(df.sparkSession, df._tallyforge_path))
+        return setkinds.NearSums(self.kinds.select("cid", "line"), self.scratch, self.num, self.den, files).sums(values)
+
     def rows(self) -> DataFrame:
         """(id, class_id, class_size, links) of every record with tokens; links counts the other near classes."""
-        linked = self.both_ways().groupBy("line").agg(F.count("*").alias("links"))
-        return self.members.join(self.kinds.join(linked, "line", "left"), "line").select("id", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+        near = self._sums(self.kinds.select("cid", F.lit(1).cast("bigint").alias("w"), F.col("cid").alias("top")))
+        of = self.kinds.drop("line").join(near.select("cid", (F.col("w") - 1).alias("links")), "cid")
+        return self.members.select("id", F.xxhash64("line").alias("cid")).join(of, "cid").select("id", "class_id", "class_size", "links")
 
     def survivors(self, ranks: DataFrame) -> DataFrame:
         """(id, survivor, copies): of a record and all near ones the one of smallest rank, and how many near ones there are.
 
         ranks: (id, rank), rank any ordered value that differs from record to record."""
-        best = self.members.join(ranks, "id").groupBy("line").agg(F.min_by(F.struct("rank", "id"), "rank").alias("top"), F.count("*").alias("n"))
-        around = self.both_ways().join(best.withColumnRenamed("line", "other"), "other").select("line", "top", "n").unionByName(best.select("line", "top", "n"))
-        of = around.groupBy("line").agg(F.min("top").alias("top"), (F.sum("n") - 1).alias("copies"))
-        return self.members.join(of, "line").select("id", F.col("top.id").alias("survivor"), "copies")
+        ids = self.members.select("id", F.xxhash64("line").alias("cid"))
+        best = self.scratch.keep(ids.join(ranks, "id").groupBy("cid").agg(F.min(F.struct("rank", "id")).alias("top"), F.count("*").alias("w")))
+        near = self._sums(best)
+        return ids.join(near, "cid").select("id", F.col("top.id").alias("survivor"), (F.col("w") - 1).alias("copies"))
 
 
 #: Queries of one file of the query side, which a task holds at a time.

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import sampling, similarity, stats, validation
+from tallyforge.operators import sampling, setkinds, similarity, stats, validation
 from tallyforge.plans.aggregates import numbered
 
 
@@ -100,6 +100,28 @@ def test_token_classes_equal_brute_force(spark, seed):
     assert {r.id: (r.survivor, r.copies) for r in made.survivors(ranks).collect()} == {k: (min(v, key=rank.get), len(v) - 1) for k, v in around.items()}
 
 
+@pytest.mark.parametrize(("seed", "common", "least"), [(1, 64, 1), (2, 512, 0), (3, 64, 30)])
+def test_near_sums_of_common_and_rare_words_equal_brute_force(spark, monkeypatch, seed, common, least):
+    monkeypatch.setattr(setkinds, "MOST_COMMON", common)
+    monkeypatch.setattr(setkinds, "LEAST_SETS", least)
+    rng = random.Random(seed)
+    body = [[f"t{k}{i}" for i in range(rng.randrange(3, 9))] for k in range(4)]
+    sets = {f"i{k:03d}": {*rng.choice(body), *rng.choice(body), *(f"n{int(rng.paretovariate(0.8)) % 90}" for _ in range(rng.randrange(3)))} for k in range(150)}
+    made = similarity.TokenClasses(spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id string, tokens array<string>"), 4, 5)
+    near = {k: [j for j, u in sets.items() if 5 * len(v & u) >= 4 * len(v | u)] for k, v in sets.items()}
+    assert {r.id: r.links for r in made.rows().collect()} == {k: len({frozenset(sets[j]) for j in v}) - 1 for k, v in near.items()}
+    ranks = spark.createDataFrame([(k, -int(k[1:]) % 70, k) for k in sets], "id string, s int, k string").select("id", F.struct("s", "k").alias("rank"))
+    want = {k: (min(v, key=lambda j: (-int(j[1:]) % 70, j)), len(v) - 1) for k, v in near.items()}
+    assert {r.id: (r.survivor, r.copies) for r in made.survivors(ranks).collect()} == want
+
+
+def test_near_sets_of_one_template_are_not_paired(spark):
+    df = spark.range(2000).select("id", F.concat(F.array(F.concat(F.lit("name"), "id")), F.array(*(F.lit(f"w{k}") for k in range(20)))).alias("tokens"))
+    got = []
+    assert written(spark, lambda: got.extend(similarity.TokenClasses(df, 4, 5).rows().collect())) < 4_000_000
+    assert len(got) == 2000 and {r.links for r in got} == {1999}
+
+
 def test_one_text_on_a_tenth_of_the_rows_gives_linear_output(spark):
     text = F.when(F.col("id") % 10 == 0, F.lit("all of these words are on very many rows")).otherwise(F.concat(F.lit("w"), F.col("id") % 3000, F.lit(" x"), F.col("id") % 7, F.lit(" y z")))
     df = spark.range(100_000).select("id", F.split(text, " ").alias("tokens"))
