@@ -17,6 +17,8 @@ from tallyforge.operators.gramhash import _flat
 
 #: Common words at most, and the least frequency of one: so many sets, or this share of them.
 MOST_COMMON, LEAST_SETS, LEAST_SHARE = 512, 16, 10_000
+#: Kinds times kinds that are compared at a time.
+CELLS = 500_000
 _CELLS = (1 << setsim.SKETCH_BITS) - 1
 
 
@@ -48,7 +50,12 @@ def _index(t, p: int, q: int) -> dict:
     r, ends = r[by], np.searchsorted(at[by], np.arange(MOST_COMMON + 1))
     used = [k for k in range(MOST_COMMON // 64) if bits[:, k].any()]
     gid, n, w, ord_ = (t.column(k).to_numpy() for k in ("gid", "n", "w", "ord"))
-    return {"gid": gid, "w": w, "ord": ord_, "post": {k: (x, [bits[x, j].copy() for j in used], n[x].astype(np.int64), gid[x]) for k in range(MOST_COMMON) if len(x := r[ends[k] : ends[k + 1]])}, "used": used}
+    n, post = n.astype(np.int32), {}
+    for k in range(MOST_COMMON):
+        if len(x := r[ends[k] : ends[k + 1]]):
+            x = x[np.argsort(n[x], kind="stable")]
+            post[k] = x, [bits[x, j].copy() for j in used], n[x]
+    return {"gid": gid, "n": n, "w": w, "ord": ord_, "post": post, "used": used}
 
 
 def _met(kinds: DataFrame, tables, p: int, q: int) -> DataFrame:
@@ -63,26 +70,34 @@ def _met(kinds: DataFrame, tables, p: int, q: int) -> DataFrame:
                 row, place, take = _prefix(b, p, q, False)
                 bits = _bits(row, place, b.num_rows)
                 gid, n, w, ord_ = (b.column(k).to_numpy() for k in ("gid", "n", "w", "ord"))
-                words = np.split(place[take], np.cumsum(np.bincount(row[take], minlength=b.num_rows))[:-1])
                 mine, mine_least = np.zeros(b.num_rows, np.int64), np.full(b.num_rows, np.iinfo(np.int64).max)
-                for i, own in enumerate(words):
-                    found = []
-                    for k in own:
-                        if k not in x["post"]:
+                n, found, size = n.astype(np.int32), [np.zeros(0, np.int64)], len(x["gid"])
+                for k in np.unique(place[take]):
+                    if k not in x["post"]:
+                        continue
+                    r, cols, m = x["post"][k]
+                    asked = row[take & (place == k)]
+                    asked = asked[np.argsort(n[asked], kind="stable")]
+                    step = max(1, CELLS // len(r))
+                    for i in range(0, len(asked), step):
+                        own = asked[i : i + step]
+                        lo, hi = np.searchsorted(m, -(-p * n[own[0]] // q)), np.searchsorted(m, n[own[-1]], "right")
+                        if lo >= hi:
                             continue
-                        r, cols, m, other = x["post"][k]
-                        shared = np.zeros(len(r), np.int16)
+                        shared = np.zeros((len(own), hi - lo), np.int32)
                         for j, col in zip(x["used"], cols, strict=True):
-                            if bits[i, j]:
-                                shared += np.bitwise_count(col & bits[i, j])
-                        near = np.flatnonzero((p + q) * shared.astype(np.int64) >= p * (n[i] + m))
-                        if len(near):
-                            near = near[(m[near] < n[i]) | ((m[near] == n[i]) & (other[near] < gid[i]))]
-                            found.append(r[near])
-                    if found and len(y := np.unique(np.concatenate(found))):
-                        mine[i], mine_least[i] = x["w"][y].sum(), x["ord"][y].min()
-                        sums[y] += w[i]
-                        least[y] = np.minimum(least[y], ord_[i])
+                            shared += np.bitwise_count(bits[own, j][:, None] & col[None, lo:hi])
+                        shared *= p + q
+                        shared -= p * m[None, lo:hi]
+                        u, v = np.nonzero(shared >= p * n[own][:, None])
+                        found.append(own[u] * size + r[lo + v])
+                y, z = np.divmod(np.unique(np.concatenate(found)), max(1, size))
+                less = (x["n"][z] < n[y]) | ((x["n"][z] == n[y]) & (x["gid"][z] < gid[y]))
+                y, z = y[less], z[less]
+                np.add.at(mine, y, x["w"][z])
+                np.minimum.at(mine_least, y, x["ord"][z])
+                np.add.at(sums, z, w[y])
+                np.minimum.at(least, z, ord_[y])
                 at = mine > 0
                 yield pa.RecordBatch.from_arrays([pa.array(gid[at]), pa.array(mine[at]), pa.array(mine_least[at])], ["gid", "w", "ord"])
             at = sums > 0
