@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators import gramhash, setkinds, setsim
+from tallyforge.operators import gramhash, setkinds
 from tallyforge.session import Scratch
 
 
@@ -93,7 +93,7 @@ class TokenClasses:
 
     df: (id, tokens), tokens distinct and without blanks; null ids and empty sets are in no class. members: (id, line), kinds: (line,
     cid, class_id, class_size), cid a 64-bit hash of the line. Records and survivors come from sums over kinds of classes, so they need
-    no row for each near pair; only pairs() makes links: (line_a, line_b) of different sets with a Jaccard similarity of num/den or more.
+    no row for each near pair; pairs() returns each near pair from the task that finds it, without a work table or shuffle of pairs.
     """
 
     def __init__(self, df: DataFrame, num: int, den: int):
@@ -103,15 +103,15 @@ class TokenClasses:
 
     def pairs(self) -> DataFrame:
         """(a, b, shared, united): near pairs of class representatives, the smaller id first."""
-        links = setsim.near_classes(self.scratch.keep(setsim.classes(self.members, 1, [])), self.scratch, self.num, self.den).select("line_a", "line_b")
-        end = lambda k: self.kinds.select(F.col("line").alias(f"line_{k}"), F.col("class_id").alias(k))
-        x, y = F.split("line_a", " "), F.split("line_b", " ")
-        out = links.join(end("a"), "line_a").join(end("b"), "line_b").withColumn("shared", F.size(F.array_intersect(x, y))).withColumn("united", F.size(x) + F.size(y) - F.col("shared"))
-        return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "united")
+        return setkinds.near_pairs(self.kinds.select(F.col("class_id").alias("id"), "line"), self.scratch, self.num, self.den, self._files)
+
+    @staticmethod
+    def _files(df: DataFrame):
+        uri = _uri(df.sparkSession, df._tallyforge_path)
+        return lambda which=None: _read_blocks(uri, which)
 
     def _sums(self, values: DataFrame) -> DataFrame:
-        files = lambda df: (lambda uri: lambda: _read_blocks(uri))(_uri(df.sparkSession, df._tallyforge_path))
-        return setkinds.NearSums(self.kinds.select("cid", "line"), self.scratch, self.num, self.den, files).sums(values)
+        return setkinds.NearSums(self.kinds.select("cid", "line"), self.scratch, self.num, self.den, self._files).sums(values)
 
     def rows(self) -> DataFrame:
         """(id, class_id, class_size, links) of every record with tokens; links counts the other near classes."""
@@ -149,16 +149,16 @@ def _written_blocks(left: DataFrame, cols: list[str], rows: int | None = None) -
     return _uri(spark, at)
 
 
-def _read_blocks(uri: str):
-    """The query blocks one after another, as Arrow tables."""
+def _read_blocks(uri: str, which: list[int] | None = None):
+    """The query blocks one after another, as Arrow tables. which: places of some of them in the order of their paths."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     files, root = (fs.LocalFileSystem(), "/" + uri.split(":", 1)[1].lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
-    for f in sorted(files.get_file_info(fs.FileSelector(root, recursive=True)), key=lambda f: f.path):
-        if f.path.endswith(".parquet"):
-            with files.open_input_file(f.path) as held:
-                yield pq.ParquetFile(held).read()
+    found = sorted(f.path for f in files.get_file_info(fs.FileSelector(root, recursive=True)) if f.path.endswith(".parquet"))
+    for path in found if which is None else [found[k] for k in which if k < len(found)]:
+        with files.open_input_file(path) as held:
+            yield pq.ParquetFile(held).read()
 
 
 def _chunks(batches):

@@ -2,6 +2,7 @@ import math
 import pathlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,48 @@ def test_near_sets_of_one_template_are_not_paired(spark):
     assert len(got) == 2000 and {r.links for r in got} == {1999}
 
 
+def test_near_pairs_are_not_written_to_work_tables(spark):
+    df = spark.range(1500).select("id", F.concat(F.array(F.concat(F.lit("name"), "id")), F.array(*(F.lit(f"w{k}") for k in range(20)))).alias("tokens"))
+    got = []
+    assert written(spark, lambda: got.append(similarity.TokenClasses(df, 4, 5).pairs().count())) < 2_000_000
+    assert got == [1500 * 1499 // 2]
+
+
+@pytest.mark.parametrize("rows", [17, 40])
+def test_near_pairs_of_several_files_equal_brute_force(spark, monkeypatch, rows):
+    for name, value in (("FILE_SETS", rows), ("SMALL_SETS", rows), ("TOGETHER", 5), ("FILES_A_TASK", 2), ("LEAST_SETS", 8)):
+        monkeypatch.setattr(setkinds, name, value)
+    rng = random.Random(rows)
+    body = [[f"t{k}{i}" for i in range(rng.randrange(3, 9))] for k in range(3)]
+    sets = {f"i{k:03d}": frozenset({*rng.choice(body), *rng.choice(body), *(f"n{int(rng.paretovariate(0.8)) % 60}" for _ in range(rng.randrange(4)))}) for k in range(150)}
+    reps = {min(j for j, u in sets.items() if u == v): v for v in {*sets.values()}}
+    want = sorted((a, b, len(x & y), len(x | y)) for a, x in reps.items() for b, y in reps.items() if a < b and 5 * len(x & y) >= 4 * len(x | y))
+    made = similarity.TokenClasses(spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id string, tokens array<string>"), 4, 5)
+    assert sorted(tuple(r) for r in made.pairs().collect()) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_near_pairs_of_two_files_in_small_steps(monkeypatch, same):
+    for name, value in (("BATCH", 7), ("KIND_CELLS", 40), ("MOST_HITS", 20), ("CELLS", 6)):
+        monkeypatch.setattr(setkinds, name, value)
+    rng = random.Random(5)
+
+    def made(n):
+        rows = [(sorted(rng.sample(range(6), rng.randrange(6))), sorted(rng.sample(range(9), rng.randrange(4)))) for _ in range(n)]
+        rows = sorted(((c, len(c) + len(r), r) for c, r in rows if c or r))
+        gid = {k: i for i, k in enumerate(dict.fromkeys((tuple(c), n) for c, n, _ in rows))}
+        cols = {"id": pa.array(range(len(rows))), "n": pa.array([n for _, n, _ in rows], pa.int32()), "common": pa.array([c for c, _, _ in rows], pa.list_(pa.int16()))}
+        t = pa.table(cols | {"rare": pa.array([r for *_, r in rows], pa.list_(pa.int64())), "gid": pa.array([gid[tuple(c), n] for c, n, _ in rows])})
+        return t, [{*map(str, c), *(f"r{w}" for w in r)} for c, _, r in rows]
+
+    (t, x), (u, y) = made(160), made(120)
+    left = setkinds._File(t, 4, 5)
+    right, y = (left, x) if same else (setkinds._File(u, 4, 5), y)
+    got = [tuple(map(int, row)) for part in left.pairs(right, 4, 5, same) for row in zip(*part, strict=True)]
+    want = [(i, j, len(a & b), len(a) + len(b)) for i, a in enumerate(x) for j, b in enumerate(y) if (i < j or not same) and 5 * len(a & b) >= 4 * len(a | b)]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
 def test_one_text_on_a_tenth_of_the_rows_gives_linear_output(spark):
     text = F.when(F.col("id") % 10 == 0, F.lit("all of these words are on very many rows")).otherwise(F.concat(F.lit("w"), F.col("id") % 3000, F.lit(" x"), F.col("id") % 7, F.lit(" y z")))
     df = spark.range(100_000).select("id", F.split(text, " ").alias("tokens"))
