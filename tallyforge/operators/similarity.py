@@ -98,7 +98,8 @@ class TokenClasses:
 
     def __init__(self, df: DataFrame, num: int, den: int):
         self.scratch, self.num, self.den = Scratch(df.sparkSession, "jaccard"), num, den
-        self.members = self.scratch.keep(df.where("id IS NOT NULL AND size(tokens) > 0").select("id", F.array_join(F.sort_array("tokens"), " ").alias("line")).distinct())
+        # lines are filtered where they are read: a filter on tokens would make them twice
+        self.members = self.scratch.keep(df.where("id IS NOT NULL").select("id", F.array_join(F.sort_array("tokens"), " ").alias("line")).distinct()).where("line != ''")
         self.kinds = self.scratch.keep(self.members.groupBy("line").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")).withColumn("cid", F.xxhash64("line")))
 
     def pairs(self) -> DataFrame:
